@@ -49,9 +49,10 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def source_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
-    taken = mixing.mix(docs).groupBy("doc_id").agg(F.max("times").alias("times")).filter("times > 0")
-    rows = _matching(docs.select(*COLUMNS), taken, "times")
-    return rows.select(*COLUMNS, F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))).alias("_copy")).select(*COLUMNS)
+    _, plan = mixing.mix_plan(docs)
+    # A row's share follows from its id and its source: texts are not shuffled.
+    rows = mixing.with_plan(docs.select(*COLUMNS), plan).withColumn("_times", mixing.times(mixing.mix_hash(F.col("doc_id"))))
+    return rows.filter("_times > 0").select(*COLUMNS, F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times"))).alias("_copy")).select(*COLUMNS)
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

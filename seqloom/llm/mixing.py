@@ -76,15 +76,11 @@ def thresholds(slim: DataFrame, plan: DataFrame) -> DataFrame:
     return state.select("source", F.col("low").alias("threshold"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: float = 3.0) -> DataFrame:
-    """doc_id, size, source_size, target, taken, times for every row of docs(doc_id, source, text).
+def mix_plan(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: float = 3.0) -> tuple[DataFrame, DataFrame]:
+    """(slim, plan): slim has doc_id, source, size, h of every row; plan has source, source_size, target, full, threshold.
 
-    times: how often the mix holds the document; taken = times * size. A source
-    whose target is t times its size gives every document floor(t) times, and
-    those below its threshold once more. Null text: size 0; a null source is a
-    source; null ids share one hash; equal ids are taken alike; an empty table
-    gives no rows; other columns are ignored. The tables by source are written
-    and read again, so Spark knows their size and broadcasts them only if small.
+    A document is taken full times, and once more if its hash is below the
+    threshold of its source: see times().
     """
     slim = materialize(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), mix_hash(F.col("doc_id")).alias("h")), "mix-sizes")
     sources = slim.groupBy("source").agg(F.sum("size").alias("source_size"))
@@ -92,7 +88,29 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: float = 3.0
     plan = plan.withColumn("full", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
     plan = materialize(plan.withColumn("rest", F.col("target") - F.col("full") * F.col("source_size")), "mix-targets")
     cut = thresholds(slim, plan.filter(F.col("full") < most))
-    joined = plan.join(cut.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left").drop("s").withColumnRenamed("source", "p")
-    out = slim.join(materialize(joined, "mix-plan"), F.col("source").eqNullSafe(F.col("p")))
-    times = F.least(F.col("full") + F.when(F.col("h") < F.coalesce(F.col("threshold"), F.lit(0)), 1).otherwise(0), F.lit(int(most)).cast("long"))
-    return out.withColumn("times", times).select("doc_id", "size", "source_size", "target", (F.col("times") * F.col("size")).alias("taken"), "times")
+    joined = plan.join(cut.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left").drop("s", "rest")
+    return slim, materialize(joined.withColumn("threshold", F.coalesce("threshold", F.lit(0).cast("long"))).withColumn("most", F.lit(int(most)).cast("long")), "mix-plan")
+
+
+def times(h: Column) -> Column:
+    """How often a document is taken, from its hash and the columns of its source's plan."""
+    return F.least(F.col("full") + F.when(h < F.col("threshold"), 1).otherwise(0), F.col("most"))
+
+
+def with_plan(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """rows(source, ...) with the plan of their source. The plan is a written table, so Spark knows its size and broadcasts it only if small."""
+    return rows.join(plan.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: float = 3.0) -> DataFrame:
+    """doc_id, size, source_size, target, taken, times for every row of docs(doc_id, source, text).
+
+    times: how often the mix holds the document; taken = times * size. A source
+    whose target is t times its size gives every document floor(t) times, and
+    those below its threshold once more. Null text: size 0; a null source is a
+    source; null ids share one hash; equal ids are taken alike; an empty table
+    gives no rows; other columns are ignored.
+    """
+    slim, plan = mix_plan(docs, weights, most)
+    out = with_plan(slim, plan).withColumn("times", times(F.col("h")))
+    return out.select("doc_id", "size", "source_size", "target", (F.col("times") * F.col("size")).alias("taken"), "times")
