@@ -10,15 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqloom.llm import decontaminate, mixing, ngram_join, quality, sharding
-from seqloom.llm._spark import materialize, table
+from seqloom.llm._spark import if_small, materialize, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
-def _matching(docs: DataFrame, verdicts: DataFrame, *more: str) -> DataFrame:
-    """Rows of docs whose id, null or not, has a row in verdicts(doc_id unique, more)."""
-    known = verdicts.select(F.col("doc_id").alias("_id"), *more)
-    return docs.join(known, F.col("doc_id").eqNullSafe(F.col("_id")), "inner" if more else "left_semi").drop("_id")
+#: Rows of a table of ids that may be broadcast to filter the documents; more are joined by a shuffle of the texts.
+BROADCAST_IDS = 1_000_000
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,19 +29,22 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class stays: the one of the least id; of repeated rows with that id, one."""
     classes = materialize(ngram_join.jaccard_classes(docs), "pipeline-classes")
-    leaders = classes.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
-    leaders = materialize(leaders, "pipeline-leaders")
-    kept = _matching(docs.select(*COLUMNS), leaders.filter("n = 1"))
-    repeated = leaders.filter("n > 1")
-    if repeated.limit(1).count():
-        kept = kept.unionByName(_matching(docs.select(*COLUMNS), repeated).dropDuplicates(["doc_id", "text"]))
-    return kept
+    # The rows that go are few beside those that stay, so the filter is an anti join with them.
+    leads = F.col("doc_id").eqNullSafe(F.col("class_id"))
+    losers = classes.filter(~leads).select(F.col("doc_id").alias("_id")).distinct()
+    rows = docs.select(*COLUMNS)
+    kept = rows.join(if_small(losers, BROADCAST_IDS), F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
+    repeated = materialize(classes.filter(leads).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("doc_id").alias("_id")), "pipeline-repeated")
+    if not repeated.limit(1).count():
+        return kept
+    same = F.col("doc_id").eqNullSafe(F.col("_id"))
+    return kept.join(repeated, same, "left_anti").unionByName(kept.join(repeated, same, "left_semi").dropDuplicates(["doc_id"]))
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with any window of a benchmark item go."""
     _, found = decontaminate.contained_windows(docs, table(spark, sf_dir, "benchmark"))
-    hit = found.select(F.col("uid").alias("_uid")).distinct()
+    hit = if_small(found.select(F.col("uid").alias("_uid")).distinct(), BROADCAST_IDS)
     return docs.select(*COLUMNS, decontaminate.row_key().alias("uid")).join(hit, F.col("uid") == F.col("_uid"), "left_anti").select(*COLUMNS)
 
 
