@@ -27,14 +27,14 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class stays: the one of the least id; of repeated rows with that id, one."""
+    """One document of each class stays: the one of the least id; of repeated rows with that id, one. Rows without an id cannot be told apart and stay."""
     classes = materialize(ngram_join.jaccard_classes(docs), "pipeline-classes")
     # The rows that go are few beside those that stay, so the filter is an anti join with them.
     leads = F.col("doc_id").eqNullSafe(F.col("class_id"))
-    losers = classes.filter(~leads).select(F.col("doc_id").alias("_id")).distinct()
+    losers = classes.filter(~leads & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_id")).distinct()
     rows = docs.select(*COLUMNS)
     kept = rows.join(if_small(losers, BROADCAST_IDS), F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
-    repeated = materialize(classes.filter(leads).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("doc_id").alias("_id")), "pipeline-repeated")
+    repeated = materialize(classes.filter(leads & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("doc_id").alias("_id")), "pipeline-repeated")
     if not repeated.limit(1).count():
         return kept
     same = F.col("doc_id").eqNullSafe(F.col("_id"))
