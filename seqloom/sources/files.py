@@ -7,6 +7,7 @@ import io
 import zipfile
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -109,14 +110,15 @@ def java_properties(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _bytes_udf(name: str):
-    import pandas as pd
-
     if name == "gzip":
+
         def work(s: pd.Series) -> pd.Series:
             return s.map(lambda x: None if x is None else gzip.compress(bytes(x), mtime=0))
     else:
+
         def work(s: pd.Series) -> pd.Series:
             return s.map(lambda x: None if x is None else gzip.decompress(bytes(x)))
+
     return F.pandas_udf(work, "binary")
 
 
