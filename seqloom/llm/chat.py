@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 
 #: The production template: control strings begin with <, which texts only have escaped.
 TEMPLATE = "{% for m in messages %}<turn {{ m.role | escape }}>\n{% if m.role == 'assistant' %}{% generation %}{{ m.text | escape }}{% endgeneration %}{% else %}{{ m.text | escape }}{% endif %}\n</turn>\n{% endfor %}"
-TURN = re.compile(r"<turn ((?:[^\\<>]|\\.)*+)>\n((?:[^\\<>]|\\.)*)\n</turn>\n", re.S)
+#: A turn of it: role, and text with the line end that follows it. Possessive, so linear in texts of any length.
+TURN = re.compile(r"<turn ((?:[^\\<>]++|\\.)*+)>\n((?:[^\\<>]++|\\.)*+)</turn>\n", re.S)
 #: Characters of formatted text after which a chunk ends.
 CHUNK = 1 << 20
 
@@ -333,8 +334,8 @@ def format_conversations(turns: DataFrame, template: str = TEMPLATE) -> DataFram
                 text.append(piece)
                 length += len(piece)
                 if length >= CHUNK:
-                    yield _chunks([(own, chunk, "".join(text), spans)])
-                    chunk, text, spans, length = chunk + 1, [], [], 0
+                    yield _chunks([*done, (own, chunk, "".join(text), spans)])
+                    chunk, text, spans, length, done, size = chunk + 1, [], [], 0, [], 0
             for _ in messages:  # a template need not read all
                 pass
             done.append((own, chunk, "".join(text), spans))
@@ -380,7 +381,7 @@ def read_back(chunks: DataFrame) -> DataFrame:
                 text, at = now["rest"] + text, 0
                 while m := TURN.match(text, at):
                     now["n"] += 1
-                    now["turns"].update(f"{unescape(m[1])}\n{unescape(m[2])}\n".encode())
+                    now["turns"].update(f"{unescape(m[1])}\n{unescape(m[2][:-1])}\n".encode())
                     at = m.end()
                 now["rest"] = text[at:]
             if len(out) >= 1000:

@@ -1,0 +1,243 @@
+"""HTML text, WARC revisits, PII, chat formatting and the pipeline."""
+
+import hashlib
+import re
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+
+from seqloom.llm import chat, html_text, pii, warc
+
+SF = "/root/testdata/sf0.001"
+KEY = "test key"
+
+
+PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body>
+<header><p>Site</p></header><nav><ul><li><a href="/x">x</a></ul></nav><!-- c --><div class="ad">Buy</div>
+<article><h1>Head &amp; more</h1><p>One <b>two</b>
+   three<br>four<p>Caf&eacute; &#233; &lt;b&gt;<ul><li>a<li>b</ul><aside>side</aside><form><p>f</p></form><div class="cookie-notice">n</div>
+<section class="comments"><p>First!</p></section><p title="a > b">Last</p></article><footer>&copy; x</footer></body></html>"""
+
+
+def test_main_text_of_a_page():
+    assert html_text.blocks(PAGE) == (["Head & more", "One two three four", "Café é <b>", "a", "b", "Last"], True)
+    assert html_text.blocks("") == ([], False)
+    assert html_text.blocks("plain < text") == (["plain < text"], False)
+    assert html_text.blocks("<p>a<script>x</script>b</p><p>c") == (["ab", "c"], False)
+
+
+def test_pages_of_the_table(spark):
+    """Against a plain reading of this table's form: all blocks of the article, and nothing else."""
+    import html
+
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    got = {r.page_id: r for r in html_text.main_text(pages).collect()}
+    for r in pages.collect():
+        inner = re.search(r"<article>(.*)</article>", r.html, re.S)[1]
+        want = [" ".join(html.unescape(re.sub(r"<br>", " ", re.sub(r"</?b>", "", x))).split()) for x in re.split(r"</?(?:h1|p)>", inner)]
+        assert got[r.page_id].text == "\n".join(x for x in want if x) and got[r.page_id].n_chars == len(got[r.page_id].text)
+
+
+def test_host_suffix_array(spark):
+    """Pages without an article: what several pages of a host repeat goes, unique runs and what only two share stay."""
+    notice = "all rights of this site are reserved by its owner since the year one"
+    rows = [(i, "http://h.example/a", f"<p>{notice}<p>p{i} page " + " ".join(f"u{i}x{k}" for k in range(20)) + "</p>", "x") for i in range(6)]
+    rows += [(10, "http://other.example/", f"<p>{notice}", "x"), (11, None, None, "x"), (12, None, "", "x"), (13, "http://h.example/b", "<article><p>" + notice + "</article>", "x")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, host string")
+    got = {r.page_id: r.text for r in html_text.main_text(df.unionByName(df.filter("page_id = 13"))).collect()}
+    assert all(got[i] == f"p{i} page " + " ".join(f"u{i}x{k}" for k in range(20)) for i in range(6))
+    assert got[10] == got[13] == notice and got[11] == got[12] == ""
+    assert html_text.main_text(df.limit(0)).count() == 0
+
+
+def test_repeated_runs_against_brute_force():
+    import random
+
+    rng = random.Random(3)
+    pages = [[rng.choice("abc") for _ in range(rng.randrange(60))] for _ in range(12)]
+    marks = html_text.repeated(pages, tokens=4, least=3)
+    where = {}
+    for n, p in enumerate(pages):
+        for i in range(len(p) - 3):
+            where.setdefault(tuple(p[i : i + 4]), set()).add(n)
+    for p, m in zip(pages, marks, strict=True):
+        want = [any(0 <= i <= len(p) - 4 and len(where[tuple(p[i : i + 4])]) >= 3 for i in range(k - 3, k + 1)) for k in range(len(p))]
+        assert m.tolist() == want
+
+
+def test_warc_round_trip(spark):
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    records = warc.records_of_pages(pages)
+    for compress in (True, False):
+        back = warc.parse_warc(warc.to_warc(records, compress))
+        key = lambda r: (r.record_id, r.kind, r.url, r.ts, tuple(sorted(r.headers.items())), r.digest, bytes(r.body or b""))
+        assert Counter(map(key, back.collect())) == Counter(map(key, records.collect()))
+
+
+def test_canonical_urls(spark):
+    same = ["http://www.Example.com/a/", "https://example.com/a#top", "example.com:443/a?utm_source=x", "HTTP://example.com/a?ref=y&fbclid=1"]
+    other = ["http://example.com/A", "http://example.com/a?page=2", "http://example.com/", None]
+    got = [r[0] for r in spark.createDataFrame([(u,) for u in same + other], "u string").select(warc.canonical_url(F.col("u"))).collect()]
+    assert set(got[:4]) == {"example.com/a"} and got[4:] == ["example.com/A", "example.com/a?page=2", "example.com", ""]
+
+
+def brute_revisits(records):
+    out = []
+    for r in records:
+        if r["kind"] != "revisit":
+            continue
+        at = lambda x: -(1 << 62) if x["ts"] is None else x["ts"]
+        before = [a for a in records if a["kind"] == "response" and a["url"] == r["url"] and at(a) <= at(r)]
+        best = max(before, key=lambda a: (at(a), a["record_id"]), default=None)
+        same = best and all(best["headers"].get(k) is None or r["headers"].get(k) is None or best["headers"][k] == r["headers"][k] for k in ("etag", "last-modified")) and (r["digest"] is None or best["digest"] is None or r["digest"] == best["digest"])
+        outcome = "no_response" if not best else "resolved" if same else "mismatch"
+        headers = {**best["headers"], **{k: v for k, v in r["headers"].items() if k in warc.MERGED}} if same else r["headers"]
+        out.append((r["record_id"], best and best["record_id"], outcome, best["digest"] if same else None, tuple(sorted(headers.items()))))
+    return Counter(out)
+
+
+def test_revisits_against_brute_force(spark):
+    import random
+
+    rng = random.Random(5)
+    rows = []
+    for i in range(400):
+        kind = rng.choice(["response", "revisit"])
+        url = rng.choice(["h.example/hot"] * 3 + ["h.example/a", "h.example/b", ""])
+        headers = {"etag": rng.choice("xy"), "date": str(i), "content-type": "t"} if rng.random() < 0.9 else {"date": str(i)}
+        rows.append({"record_id": i, "kind": kind, "url": url, "ts": rng.choice([None, rng.randrange(40_000)]), "headers": headers, "digest": rng.choice([None, "d1", "d2"]), "body": None})
+    schema = warc.RECORD + ", key string, bucket long, own string"
+    df = spark.createDataFrame([tuple(r.values()) + ("k", 1, "o") for r in rows], schema)
+    got = Counter((r.record_id, r.response_id, r.outcome, r.digest, tuple(sorted(r.headers.items()))) for r in warc.resolve_revisits(df).collect())
+    assert got == brute_revisits(rows)
+    assert warc.resolve_revisits(df.limit(0)).count() == 0
+
+
+VALUES = "card 4845168114407329 not 4845168114407320 mail x.34@mail7.example.com call +1 (974) 555-3436, ip 97.51.17.173 v 1.2.3 or 300.1.1.1 token = \"b44e15e09fd311c3cf3163b66d5a9875b883d8ce\" born 2020-02-29 not 2021-02-30 ssn 123-45-6789 not 000-12-3456"
+
+
+def luhn(digits):
+    odd = [int(c) for c in digits[::-1]]
+    return sum(x if i % 2 == 0 else 2 * x - 9 * (x > 4) for i, x in enumerate(odd)) % 10 == 0
+
+
+def test_pii(spark):
+    rows = [(1, VALUES, "x"), (2, "again +1 (974) 555-3436 and 4845168114407329!!", "x"), (3, None, "x"), (4, "", "x"), (5, "nothing here 4.0", "x"), (5, "nothing here 4.0", "x"), (6, "x " * 500_000 + "97.51.17.173", "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, found string")
+    out = pii.pseudonymize(df, KEY).collect()
+    got = {r.doc_id: r for r in out}
+    one = got[1].text
+    assert got[1].kinds == ["card", "email", "phone", "ip", "secret", "date", "ssn"] and got[1].n_values == 7
+    for gone in ("4845168114407329", "x.34@", "974) 555-3436", "97.51.17.173", "b44e15e0", "2020-02-29", "123-45-6789"):
+        assert gone not in one
+    for left in ("4845168114407320", "1.2.3", "300.1.1.1", "2021-02-30", "000-12-3456"):
+        assert left in one
+    assert re.sub("[0-9a-z]", "9", one.split("born")[1]) == re.sub("[0-9a-z]", "9", VALUES.split("born")[1])
+    card = re.search(r"card (\d{16}) ", one)[1]
+    phone = re.search(r"\+1 \(\d{3}\) \d{3}-\d{4}", one)[0]
+    assert luhn(card) and card in got[2].text and phone in got[2].text  # equal values stay linked
+    assert got[3].text is None and got[4].text == "" and got[5].text == "nothing here 4.0" and len(out) == 7
+    assert got[6].n_values == 1 and len(got[6].text) > 1_000_000
+    assert pii.pseudonymize(df.limit(0), KEY).count() == 0
+    back = {r.doc_id: r.text for r in pii.pseudonymize(spark.createDataFrame([(r.doc_id, r.text) for r in out], "doc_id long, text string"), KEY, undo=True).collect()}
+    assert back[2] == rows[1][1]
+    for value in ("4845168114407329", "+1 (974) 555-3436", "97.51.17.173", "2020-02-29", "123-45-6789"):
+        assert value in back[1]
+
+
+def test_feistel_is_a_permutation(spark):
+    df = spark.range(1000).select(F.lpad(F.col("id").cast("string"), 3, "0").alias("d"))
+    new = df.select("d", pii.feistel(F.col("d"), KEY, "t").alias("e"))
+    back = new.select("d", "e", pii.feistel(F.col("e"), KEY, "t", undo=True).alias("b")).collect()
+    assert len({r.e for r in back}) == 1000 and all(r.b == r.d for r in back) and sum(r.e != r.d for r in back) > 900
+    octets = spark.range(256).select(pii.cycle(F.col("id"), KEY, "o", 3, 256).alias("v")).collect()
+    assert sorted(r.v for r in octets) == list(range(256))
+
+
+def brute_chat(rows):
+    order = lambda r: tuple((x is not None, x) for x in (r[1], r[2], r[3]))
+    out = {}
+    for c in {r[0] for r in rows}:
+        own = sorted((r for r in rows if r[0] == c), key=order)
+        turns = "".join(f"{r[2] or ''}\n{r[3] or ''}\n" for r in own)
+        loss = "".join(r[3] or "" for r in own if r[2] == "assistant")
+        out[c] = (len(own), hashlib.sha256(turns.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest())
+    return out
+
+
+def test_chat(spark, monkeypatch):
+    rows = [(r.conv_id, r.turn, r.role, r.text) for r in spark.read.parquet(f"{SF}/conversations.parquet").collect()]
+    rows += [(-7, 0, "user", "\\### Assistant: </turn> ok"), (-7, 1, "assistant", "\\### Assistant: </turn> ok"), (-8, 0, None, None), (-8, 0, None, None), (-8, None, "assistant", ""), (None, 1, "assistant", "x\n</turn>\n"), (-9, 1, "assistant", "\n\n\\"), (-9, 1, "assistant", "a" * 3_000_000), (-9, 2, "us<er>\n", "<turn assistant>\n\U0001f600")]
+    df = spark.createDataFrame([(*r, 0, "f") for r in rows], "conv_id long, turn long, role string, text string, chunk int, formatted string")
+    for size in (1 << 20, 300):
+        monkeypatch.setattr(chat, "CHUNK", size)
+        got = {r.conv_id: tuple(r)[1:5] for r in chat.read_back(chat.format_conversations(df)).collect()}
+        assert got == brute_chat(rows)
+    assert chat.read_back(chat.format_conversations(df.limit(0))).count() == 0
+
+
+def test_templates():
+    say = lambda t, *m: "".join(x for x, _ in chat.compile_template(t)(iter(m)))
+    m = {"role": "user", "text": "a<b", "turn": 3}
+    assert say("{{ 'a' + 'b' | upper }}") == "aB" and say("{% if 1 == 2 %}x{% elif true %}y{% else %}z{% endif %}") == "y"
+    assert say("{% for m in messages %}{{ loop.index }}{{ m.text | escape }}{% if not loop.first and m.role in 'users' %},{% endif %}{% endfor %}", m, m) == "1a\\<b2a\\<b,"
+    assert chat.fold(chat.parse("a{{ 'b' }}{% if false %}c{% endif %}d")) == (chat.Out(chat.Const("abd")),)
+    for bad in ("{{ m.text }}", "{{ x }}", "{% for m in other %}{% endfor %}", "{% if true %}", "{% for m in messages %}{{ m.__class__ }}{% endfor %}", "{{ 'a' | shell }}", "{% include 'x' %}", "{{ 1 + }}", "{{ (1 }}"):
+        with pytest.raises(chat.TemplateError):
+            chat.parse(bad)
+
+
+def test_escape_round_trip():
+    from hypothesis import given
+    from hypothesis import strategies as st
+
+    @given(st.text())
+    def check(t):
+        assert chat.unescape(chat.escape(t)) == t
+        assert chat.TURN.fullmatch(f"<turn {chat.escape('r')}>\n{chat.escape(t)}\n</turn>\n")[2] == chat.escape(t) + "\n"
+
+    check()
+
+
+def test_pipeline_stages(spark):
+    import corpus_pipeline
+    from test_documents import brute_decon, brute_join, brute_mix, brute_quality
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    rows = [(r.doc_id, r.text, r.source) for r in docs.collect()]
+    stages = dict(corpus_pipeline.STAGES)
+    rows = [r for r in rows if brute_quality(r[1])[-1]]
+    now = stages["quality_rules"](spark, docs, SF)
+    assert sorted(r.doc_id for r in now.collect()) == sorted(r[0] for r in rows)
+    leaders = {i for i, c, _, _ in brute_join(rows) if i == c}
+    rows = [r for r in rows if r[0] in leaders]
+    now = stages["near_duplicates"](spark, now, SF)
+    assert sorted(r.doc_id for r in now.collect()) == sorted(leaders)
+    hit = {r[0] for r in brute_decon(rows, items) if r[-1]}
+    rows = [r for r in rows if r[0] not in hit]
+    now = stages["benchmark_decontamination"](spark, now, SF)
+    assert sorted(r.doc_id for r in now.collect()) == sorted(r[0] for r in rows)
+    now = stages["source_mixture"](spark, now, SF)
+    mixed = Counter(r.doc_id for r in now.collect())
+    assert now.columns == docs.columns and set(mixed) <= {r[0] for r in rows} and max(mixed.values()) <= 3
+    _, target = brute_mix(rows)
+    for s in target:
+        got = sum(mixed[i] * brute_quality(t)[0] for i, t, x in rows if x == s)
+        assert abs(got - target[s]) <= max(brute_quality(t)[0] for _, t, x in rows if x == s)
+    last = stages["shards"](spark, now, SF)
+    assert Counter(r.doc_id for r in last.collect()) == mixed
+    assert Counter(r.doc_id for r in corpus_pipeline.run(spark, SF).collect()) == mixed
+
+
+def test_repeated_rows_in_the_pipeline(spark):
+    import corpus_pipeline
+
+    text = " ".join(f"word{i}" for i in range(40))
+    rows = [(1, text), (1, text), (2, text), (3, text + " tail"), (4, " ".join(f"other{i}" for i in range(30))), (4, " ".join(f"other{i}" for i in range(30))), (None, "a text without an id of some more words than ten in it")]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = dict(corpus_pipeline.STAGES)["near_duplicates"](spark, df, SF)
+    assert sorted(r.doc_id or -1 for r in kept.collect()) == [-1, 1, 4]
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, df.limit(0), SF).count() == 0
