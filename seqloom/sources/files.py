@@ -27,7 +27,7 @@ def inline(spark: SparkSession, *docs: str, base_uri: str | None = None) -> Data
 
 def load(spark: SparkSession, path: str, mask: str | None = None) -> DataFrame:
     """Documents of a file or folder, a row each, whose names match a regular expression. pos orders them by path."""
-    files = spark.read.option("wholetext", True).text(path).withColumn("base_uri", F.col("_metadata.file_path")).withColumn("_name", F.col("_metadata.file_name"))
+    files = spark.read.text(path, wholetext=True).withColumn("base_uri", F.col("_metadata.file_path")).withColumn("_name", F.col("_metadata.file_name"))
     files = files.filter(F.col("_name").rlike(f"^(?:{mask})$")) if mask else files
     return ordered(files.select("base_uri", F.col("value").alias("doc")))
 
@@ -82,7 +82,7 @@ def directory_list(spark: SparkSession, path: str, include: str | None = None, e
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
     """line (from 1), text of one text file: the file is one row, exploded with its places."""
-    whole = spark.read.option("wholetext", True).text(path)
+    whole = spark.read.text(path, wholetext=True)
     split = F.split(F.regexp_replace("value", r"\n\z", ""), "\n")
     return whole.select(F.posexplode(split).alias("line", "text")).withColumn("line", F.col("line") + 1)
 
