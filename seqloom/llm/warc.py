@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from seqloom.llm._spark import materialize
+
 #: Headers that a 304 answer may update in a stored response.
 MERGED = ("cache-control", "content-location", "date", "etag", "expires", "vary", "age", "last-modified")
 #: Captures of one URL are dealt to tasks by spans of so many seconds.
@@ -100,6 +102,8 @@ def resolve_revisits(records: DataFrame, span: int = SPAN) -> DataFrame:
     """
     key = canonical_url(F.col("url"))
     slim = records.select(key.alias("key"), F.coalesce("ts", F.lit(-(1 << 62))).alias("at"), "record_id", "kind", "url", "ts", "digest", "headers").withColumn("bucket", F.floor(F.col("at") / span))
+    # Read three times below: the records are parsed once.
+    slim = materialize(slim, "warc-captures")
     answer = F.when(F.col("kind") == "response", F.struct("at", "record_id", "digest", "headers"))
     inside = Window.partitionBy("key", "bucket").orderBy("at", F.col("kind") == "revisit", "record_id").rowsBetween(Window.unboundedPreceding, 0)
     with_own = slim.withColumn("own", F.last(answer, ignorenulls=True).over(inside)).filter(F.col("kind") == "revisit")
