@@ -16,6 +16,7 @@ from seqloom.operators import content as C
 from seqloom.operators import match as M
 from seqloom.operators import rewrite as R
 from seqloom.operators import sequence as S
+from seqloom.plans.scratch import materialize
 from seqloom.sources import files
 from seqloom.sources.bridge import around, attributes_of, element, to_seq
 from seqloom.sources.xml import parse, serialize
@@ -124,7 +125,7 @@ def pack_zip(spark, sf_dir):
 @query("""SELECT o.o_orderkey AS id, count(l_orderkey) AS n FROM orders o LEFT JOIN lineitem l ON o.o_orderkey = l.l_orderkey GROUP BY 1""")
 def for_each_count(spark, sf_dir):
     """for-each and count: lines of each order, orders without lines included."""
-    seq = S.iterate(orders(spark, sf_dir))
+    seq = materialize(S.iterate(materialize(orders(spark, sf_dir), "orders")), "iterations")
     lines = R.select(parse(seq), M.element("line")).filter((F.col("kind") == "open") & (F.size("ancestors") == 0))
     counted = S.count_each(lines, seq)
     return counted.join(seq.select("iter", F.col("pos").alias("id")), "iter").select("id", F.col("result").alias("n"))
@@ -139,14 +140,15 @@ def iteration_position_size(spark, sf_dir):
 @query(f"""SELECT l_orderkey AS id, l_linenumber AS n, l_suppkey AS supplier, '_' || row_number() OVER (PARTITION BY l_orderkey {ORDERED}) AS label
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey""")
 def label_elements(spark, sf_dir):
-    tokens = R.label_elements(parse(orders(spark, sf_dir)), M.element("line"), "label")
+    # Read by two branches: written once.
+    tokens = materialize(R.label_elements(parse(orders(spark, sf_dir)), M.element("line"), "label"), "labelled")
     texts = R.text_of(tokens, M.element("line"))
     return opens(tokens, "line", n="n", label="label").join(texts, ["iter", "pos", "id"]).select(F.col("pos").alias("id"), F.col("n").cast("int").alias("n"), F.col("text").cast("bigint").alias("supplier"), "label")
 
 
 @query("SELECT o_orderkey AS id, count(l_orderkey) FILTER (WHERE l_quantity >= 25) AS n FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1")
 def delete_lines(spark, sf_dir):
-    tokens = R.delete(parse(orders(spark, sf_dir)), M.element("line") & (M.attr("qty").cast("bigint") < 25))
+    tokens = materialize(R.delete(parse(orders(spark, sf_dir)), M.element("line") & (M.attr("qty").cast("bigint") < 25)), "deleted")
     roots = opens(tokens, "order", id_="id")
     return roots.join(opens(tokens, "line", q="qty").groupBy("pos").agg(F.count(F.lit(1)).alias("n")), "pos", "left").select(F.col("pos").alias("id"), F.coalesce("n", F.lit(0).cast("bigint")).alias("n"))
 
@@ -216,7 +218,7 @@ def replace_lines(spark, sf_dir):
 def viewport_lines(spark, sf_dir):
     """viewport: each line is a document for a body that renames small ones."""
     body = lambda t: R.rename(t, M.element("line") & (M.attr("qty").cast("bigint") < 25), "small")
-    tokens = R.viewport(parse(orders(spark, sf_dir)), M.element("line"), body)
+    tokens = R.viewport(materialize(parse(orders(spark, sf_dir)), "tokens"), M.element("line"), body)
     found = tokens.filter(F.col("kind") == "open").groupBy("pos").agg(F.count(F.when(F.col("local") == "small", 1)).alias("small"), F.count(F.when(F.col("local") == "line", 1)).alias("items"))
     return found.withColumnRenamed("pos", "id")
 

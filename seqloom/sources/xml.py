@@ -51,38 +51,37 @@ def _name(qualified: str) -> tuple[str, str, str]:
     return (parts[0], parts[2] if len(parts) > 2 else "", parts[1]) if len(parts) > 1 else ("", "", parts[0])
 
 
-def tokens_of(doc: str) -> list[dict]:
-    """The tokens of one document; a document that is not well-formed is error XD0011."""
-    out: list[dict] = []
-    open_elements: list[tuple[dict, dict[str, int]]] = []
+def tokens_of(doc: str) -> list[tuple]:
+    """The tokens of one document, as tuples of the columns from ord on; one that is not well-formed is error XD0011."""
+    out: list[tuple] = []
+    # Open elements: token, own ancestors with itself, numbers of children by name.
+    top: tuple = (None, [], {})
+    inside: list[tuple] = [top]
     declared: dict[str, str] = {}
-    names: dict[str, int] = {}
 
-    def put(kind: str, **fields) -> dict:
-        above = open_elements[-1][0] if open_elements else None
-        token = {"ord": float(len(out)), "kind": kind, "id": len(out), "parent": above["id"] if above else -1, "ancestors": [*above["ancestors"], above["id"]] if above else [], "path": above["path"] if above else "", "sibling": 0, "ns": "", "prefix": "", "local": "", "value": "", "attrs": [], "nsdecl": {}} | fields
-        out.append(token)
-        return token
+    def leaf(kind: str, local: str, value: str) -> None:
+        above, ancestors, _ = inside[-1]
+        out.append((float(len(out)), kind, len(out), above[2] if above else -1, ancestors, above[5] if above else "", 0, "", "", local, value, [], []))
 
     def start(name: str, attributes: list[str]) -> None:
+        above, ancestors, counts = inside[-1]
+        n = counts[name] = counts.get(name, 0) + 1
         ns, prefix, local = _name(name)
-        counts = open_elements[-1][1] if open_elements else names
-        counts[name] = counts.get(name, 0) + 1
-        attrs = [dict(zip(("ns", "prefix", "local"), _name(k), strict=True), value=v) for k, v in zip(attributes[::2], attributes[1::2], strict=True)]
-        above = open_elements[-1][0]["path"] if open_elements else ""
-        token = put("open", ns=ns, prefix=prefix, local=local, attrs=attrs, nsdecl=dict(declared), path=f"{above}/{local}", sibling=counts[name])
+        attrs = [(*_name(k), v) for k, v in zip(attributes[::2], attributes[1::2], strict=True)] if attributes else []
+        token = (float(len(out)), "open", len(out), above[2] if above else -1, ancestors, f"{above[5] if above else ''}/{local}", n, ns, prefix, local, "", attrs, list(declared.items()))
         declared.clear()
-        open_elements.append((token, {}))
+        out.append(token)
+        inside.append((token, [*ancestors, token[2]], {}))
 
     def end(_: str) -> None:
-        token = open_elements.pop()[0]
-        out.append(token | {"kind": "close", "ord": float(len(out)), "nsdecl": {}})
+        token = inside.pop()[0]
+        out.append((float(len(out)), "close", *token[2:12], []))
 
     def text(data: str) -> None:
-        if out and out[-1]["kind"] == "text":
-            out[-1]["value"] += data
+        if out and out[-1][1] == "text":
+            out[-1] = (*out[-1][:10], out[-1][10] + data, *out[-1][11:])
         else:
-            put("text", value=data)
+            leaf("text", "", data)
 
     parser = expat.ParserCreate(namespace_separator=" ")
     parser.namespace_prefixes = True
@@ -90,8 +89,8 @@ def tokens_of(doc: str) -> list[dict]:
     parser.buffer_text = True
     parser.StartElementHandler, parser.EndElementHandler, parser.CharacterDataHandler = start, end, text
     parser.StartNamespaceDeclHandler = lambda prefix, uri: declared.__setitem__(prefix or "", uri or "")
-    parser.CommentHandler = lambda data: put("comment", value=data)
-    parser.ProcessingInstructionHandler = lambda target, data: put("pi", local=target, value=data)
+    parser.CommentHandler = lambda data: leaf("comment", "", data)
+    parser.ProcessingInstructionHandler = lambda target, data: leaf("pi", target, data)
     try:
         parser.Parse(doc, True)
     except expat.ExpatError as x:
@@ -104,18 +103,26 @@ def parse(seq: DataFrame) -> DataFrame:
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: list[dict] = []
-            for r in batch.to_pylist():
-                doc = r.pop("doc")
-                rows += [r | t for t in tokens_of(doc if doc is not None else "")]
+            heads, rows, numbers = batch.select(["iter", "pos", "base_uri"]), [], []
+            for i, doc in enumerate(batch.column("doc").to_pylist()):
+                found = tokens_of(doc if doc is not None else "")
+                rows += found
+                numbers += [i] * len(found)
                 if len(rows) > 20_000:
-                    yield _batch(rows)
-                    rows = []
-            yield _batch(rows)
+                    yield _columns(heads, rows, numbers)
+                    rows, numbers = [], []
+            yield _columns(heads, rows, numbers)
 
     return seq.select("iter", "pos", "base_uri", "doc").mapInArrow(kernel, TOKENS)
 
 
+def _columns(heads: pa.RecordBatch, rows: list[tuple], numbers: list[int]) -> pa.RecordBatch:
+    names = list(_TYPES)[3:]
+    columns = list(zip(*rows, strict=True)) or [[]] * len(names)
+    own = heads.take(pa.array(numbers, pa.int64()))
+    return pa.RecordBatch.from_arrays([*own.columns, *[pa.array(c, _TYPES[k]) for k, c in zip(names, columns, strict=True)]], names=list(_TYPES))
+
+
 def _batch(rows: list[dict]) -> pa.RecordBatch:
     columns = [pa.array([list(r[k].items()) if k == "nsdecl" else r[k] for r in rows], t) for k, t in _TYPES.items()]
     return pa.RecordBatch.from_arrays(columns, names=list(_TYPES))
