@@ -22,6 +22,7 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>v
 
 def test_main_text_of_a_page():
     assert html_text.blocks(PAGE) == (["Head & more", "One two three four", "Café é <b>", "a", "b", "Last"], True)
+    assert html_text.blocks('<div class="with-sidebar"><p>m</p><main><p>t</p><article class="x"><p>u</p></article></main></div><div class="comments"><article><p>c</p></article></div>') == (["t", "u"], True)
     assert html_text.blocks("") == ([], False)
     assert html_text.blocks("plain < text") == (["plain < text"], False)
     assert html_text.blocks("<p>a<script>x</script>b</p><p>c") == (["ab", "c"], False)
