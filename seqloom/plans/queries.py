@@ -383,11 +383,11 @@ def resolve_uri(spark, sf_dir):
     return t.select(F.col("page_id").alias("id"), uris.resolve_uri(F.lit("#x"), F.col("url")).alias("uri"))
 
 
-@query("""SELECT type, n, sum_value FROM (SELECT event_type AS type, count(*) AS n, round(sum(value), 2) AS sum_value FROM events GROUP BY 1)""")
+@query("SELECT event_type AS type, count(*) AS n, sum(floor(value * 100)::BIGINT)::BIGINT AS cents FROM events GROUP BY 1")
 def for_each_group(spark, sf_dir):
     """for-each-group over documents: attributes read from tokens, then an aggregation."""
     rows = opens(parse(events(spark, sf_dir)), "event", type="type", value="value")
-    return rows.groupBy("type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("value").cast("double")), 2).alias("sum_value"))
+    return rows.groupBy("type").agg(F.count(F.lit(1)).alias("n"), F.sum(F.floor(F.col("value").cast("double") * 100)).alias("cents"))
 
 
 @query("SELECT p_partkey AS id, p_partkey AS rounds_of FROM part")
