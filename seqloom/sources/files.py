@@ -158,3 +158,69 @@ def zip_entries(entries: DataFrame) -> DataFrame:
         return pa.table({"path": pa.array([key[0].as_py()]), "content": pa.array([out.getvalue()], pa.binary())})
 
     return entries.select("path", "name", "content").groupBy("path").applyInArrow(kernel, "path string, content binary")
+
+
+def _place(spark: SparkSession, path: str, allow_effects: bool):
+    """(file system, path) of Hadoop; changing files is off by default: XD0021."""
+    check(allow_effects, "XD0021", "changing files is not allowed in safe mode")
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def copy(spark: SparkSession, source: str, target: str, allow_effects: bool = False) -> None:
+    """Copy a file or folder between any file systems; a missing source: FU01."""
+    fs, a = _place(spark, source, allow_effects)
+    check(fs.exists(a), "FU01", source)
+    to, b = _place(spark, target, allow_effects)
+    spark.sparkContext._jvm.org.apache.hadoop.fs.FileUtil.copy(fs, a, to, b, False, spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def move(spark: SparkSession, source: str, target: str, allow_effects: bool = False) -> None:
+    """Copy, then delete the source."""
+    copy(spark, source, target, allow_effects)
+    delete(spark, source, True, allow_effects)
+
+
+def delete(spark: SparkSession, path: str, recursive: bool = False, allow_effects: bool = False, fail_on_error: bool = True) -> bool:
+    """Delete a file, or with recursive a folder that is not empty; a missing one is FU01 unless fail_on_error is off."""
+    fs, a = _place(spark, path, allow_effects)
+    check(fs.exists(a) or not fail_on_error, "FU01", path)
+    check(recursive or not fs.exists(a) or fs.getFileStatus(a).isFile() or not fs.listStatus(a), "FU02", f"{path} is not empty")
+    return fs.delete(a, recursive)
+
+
+def mkdir(spark: SparkSession, path: str, allow_effects: bool = False) -> bool:
+    fs, a = _place(spark, path, allow_effects)
+    return fs.mkdirs(a)
+
+
+def touch(spark: SparkSession, path: str, allow_effects: bool = False) -> bool:
+    """Create an empty file if there is none; one that is there stays as it is."""
+    fs, a = _place(spark, path, allow_effects)
+    return not fs.exists(a) and fs.createNewFile(a)
+
+
+def tempfile(spark: SparkSession, folder: str, prefix: str = "temp", suffix: str = ".xml", allow_effects: bool = False) -> str:
+    """The path of a new empty file in a folder."""
+    import uuid
+
+    path = f"{folder.rstrip('/')}/{prefix}{uuid.uuid4().hex}{suffix}"
+    touch(spark, path, allow_effects)
+    return path
+
+
+def _view(uri: str) -> str:
+    import hashlib
+
+    return f"collection_{hashlib.md5(uri.encode()).hexdigest()}"
+
+
+def register_collection(seq: DataFrame, uri: str) -> DataFrame:
+    """Name a sequence for the session; it passes."""
+    seq.createOrReplaceTempView(_view(uri))
+    return seq
+
+
+def collection(spark: SparkSession, uri: str) -> DataFrame:
+    """A named sequence; an unknown name gives the empty one."""
+    return spark.table(_view(uri)) if spark.catalog.tableExists(_view(uri)) else empty(spark)

@@ -241,3 +241,23 @@ def test_entry_without_llm(monkeypatch):
 
     monkeypatch.setattr(e, "_llm", lambda: None)
     assert len(e.queries()) > 40 and set(e.oracle_sql()) <= set(e.queries()) and not any(k.startswith("op") for k in e.queries())
+
+
+def test_file_utilities(spark, tmp_path):
+    at = lambda n: str(tmp_path / n)
+    on = {"allow_effects": True}
+    assert files.mkdir(spark, at("d"), **on) and files.touch(spark, at("d/a"), **on) and not files.touch(spark, at("d/a"), **on)
+    files.copy(spark, at("d/a"), at("d/b"), **on)
+    files.move(spark, at("d/b"), at("c"), **on)
+    made = files.tempfile(spark, at("d"), "x", ".t", **on)
+    assert (tmp_path / "c").exists() and not (tmp_path / "d" / "b").exists() and made.endswith(".t")
+    for bad, code in ((lambda: files.delete(spark, at("d"), **on), "FU02"), (lambda: files.delete(spark, at("none"), **on), "FU01"), (lambda: files.copy(spark, at("none"), at("e"), **on), "FU01"), (lambda: files.delete(spark, at("d"), True), "XD0021")):
+        with pytest.raises(PipelineError) as x:
+            bad()
+        assert x.value.code == code
+    assert files.delete(spark, at("d"), True, **on) and not (tmp_path / "d").exists()
+
+
+def test_collections(spark):
+    files.register_collection(inline(spark, "<a/>"), "http://h/c")
+    assert docs(files.collection(spark, "http://h/c")) == ["<a/>"] and docs(files.collection(spark, "http://h/none")) == []
