@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from seqloom.functions.errors import PipelineError, check, fail
 from seqloom.functions.uris import resolve_uri
+from seqloom.operators.match import attr
 from seqloom.plans.scratch import materialize
 from seqloom.sources.xml import TOKENS, _batch, escape_text
 
@@ -131,13 +132,57 @@ def json_to_xml(value: Column, schema: str, name: str = "json") -> Column:
     return F.when(parsed.isNotNull(), F.concat(F.lit(f'<{name} type="object">'), *parts, F.lit(f"</{name}>")))
 
 
+def text_range(text: Column, pointer: Column) -> Column:
+    """The part of a plain text that a pointer names: line=a,b or char=a,b, places between lines or characters from 0.
+
+    An end left out is the text's. Every line counts with one line end, the
+    last one too. length=n after a semicolon must be the text's number of
+    bytes; otherwise, or with another unit, the result is error XC0029.
+    """
+    t = F.regexp_replace(text, r"\r\n?", "\n")
+    t = F.when((t == "") | t.endswith("\n"), t).otherwise(F.concat(t, F.lit("\n")))
+    scheme = F.trim(F.substring_index(pointer, ";", 1))
+    low = F.coalesce(F.regexp_extract(scheme, r"=(\d*)", 1).try_cast("int"), F.lit(0))
+    high = F.regexp_extract(scheme, r"=\d*,(\d+)$", 1).try_cast("int")
+    lines = F.split(F.regexp_replace(t, r"\n\z", ""), "\n")
+    n = F.when(t == "", F.lit(0)).otherwise(F.size(lines))
+    count = lambda end: F.greatest(F.least(F.coalesce(high, end), end) - low, F.lit(0))
+    some = F.slice(lines, low + 1, count(n))
+    chosen = (
+        F.when(scheme.rlike(r"^line=(\d+(,\d*)?|,\d+)$"), F.when(F.size(some) > 0, F.concat(F.array_join(some, "\n"), F.lit("\n"))).otherwise(F.lit("")))
+        .when(scheme.rlike(r"^char=(\d+(,\d*)?|,\d+)$"), t.substr(low + 1, count(F.length(t))))
+        .otherwise(fail("XC0029", "not a pointer into text"))
+    )
+    length = F.regexp_extract(pointer, r";\s*length=(\d+)", 1).try_cast("bigint")
+    return F.when(length.isNotNull() & (length != F.octet_length(text)), fail("XC0029", "the text has another length")).otherwise(chosen)
+
+
+def json_of(tokens: DataFrame) -> DataFrame:
+    """iter, pos, json: documents of json_to_xml's form as JSON, one field for each child of the root, in order.
+
+    The child's type attribute decides: number and boolean stand bare, null is
+    null, all else is a string. A root without children is an empty object.
+    """
+    child = (F.col("kind") == "open") & (F.size("ancestors") == 1)
+    texts = tokens.filter((F.col("kind") == "text") & (F.size("ancestors") == 2)).groupBy("iter", "pos", "parent").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "value"))), lambda x: x["value"]), "").alias("_text"))
+    rows = tokens.filter(child).select("iter", "pos", "ord", "local", F.col("id").alias("parent"), attr("type").alias("_type")).join(texts, ["iter", "pos", "parent"], "left")
+    quoted = lambda c: F.regexp_extract(F.to_json(F.array(c)), r"(?s)^\[(.*)\]$", 1)
+    text = F.coalesce("_text", F.lit(""))
+    value = F.when(F.col("_type") == "null", F.lit("null")).when(F.col("_type").isin("number", "boolean"), text).otherwise(quoted(text))
+    fields = rows.groupBy("iter", "pos").agg(F.array_sort(F.collect_list(F.struct("ord", F.concat(quoted(F.col("local")), F.lit(":"), value).alias("f")))).alias("_f"))
+    roots = tokens.filter((F.col("kind") == "open") & (F.size("ancestors") == 0)).select("iter", "pos")
+    joined = F.array_join(F.transform("_f", lambda x: x["f"]), ",")
+    return roots.join(fields, ["iter", "pos"], "left").select("iter", "pos", F.concat(F.lit("{"), F.coalesce(joined, F.lit("")), F.lit("}")).alias("json"))
+
+
 def xinclude(docs: DataFrame, resources: DataFrame, most: int = 20) -> DataFrame:
     """Replace <xi:include href=.../> in documents by resources(uri, doc), and theirs, level by level.
 
     Each level is one join of references with resources on the resolved URI,
-    so resources of any number are not broadcast. An include without a
-    resource takes its fallback, or is XC0029; so is a chain of more than
-    `most` levels, which a loop makes.
+    so resources of any number are not broadcast. parse="text" includes the
+    resource as text, or the part that xpointer="text(...)" names. An include
+    without a resource takes its fallback, or is XC0029; so is a chain of more
+    than `most` levels, which a loop makes.
     """
     pattern = r'<xi:include\b[^>]*?\bhref="([^"]*)"[^>]*?(?:/>|>(?s:(.*?))</xi:include>)'
     now = docs
@@ -151,6 +196,9 @@ def xinclude(docs: DataFrame, resources: DataFrame, most: int = 20) -> DataFrame
         refs = refs.withColumn("_uri", resolve_uri(F.regexp_extract("_ref", r'\bhref="([^"]*)"', 1), F.col("base_uri")))
         got = refs.join(resources.select(F.col("uri").alias("_uri"), F.col("doc").alias("_new")), "_uri", "left")
         fallback = F.regexp_extract("_ref", r"(?s)<xi:fallback[^>]*>(.*?)</xi:fallback>", 1)
+        pointer = F.regexp_extract("_ref", r'^[^>]*?\bxpointer="text\(([^")]*)\)"', 1)
+        as_text = escape_text(F.when(pointer != "", text_range(F.col("_new"), pointer)).otherwise(F.col("_new")))
+        got = got.withColumn("_new", F.when(F.col("_new").isNotNull() & F.col("_ref").rlike(r'^[^>]*?\bparse="text"'), as_text).otherwise(F.col("_new")))
         new = F.coalesce("_new", F.when(F.contains(F.col("_ref"), F.lit("<xi:fallback")), fallback).otherwise(fail("XC0029", "no such resource")))
         lists = got.groupBy("iter", "pos").agg(F.array_sort(F.collect_list(F.struct("_k", new.alias("v")))).alias("_got"))
         joined = t.join(lists, ["iter", "pos"], "left")
@@ -200,6 +248,18 @@ def structure_report(tokens: DataFrame, model: dict[str, set[str]], attributes:
     return tokens.filter((F.col("kind") == "open") & ~ok).select("iter", "pos", F.lit("structure").alias("rule"), "path", "ord", F.lit("not allowed here, or an attribute is missing").alias("message"))
 
 
+def schema_valid(seq: DataFrame, xsd: str) -> DataFrame:
+    """iter, pos, valid: whether each document is valid against an XML Schema, by the check of Spark's XML reader.
+
+    xsd: a path that every executor can read, or the name of a file added with
+    SparkContext.addFile. A null document is not valid. Use assert_valid with
+    code XC0053 on the documents that are not.
+    """
+    options = {"rowValidationXSDPath": xsd, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}
+    parsed = F.from_xml("doc", "_bad string", options)
+    return seq.select("iter", "pos", (F.col("doc").isNotNull() & parsed["_bad"].isNull()).alias("valid"))
+
+
 def param_set(values: dict[str, str]) -> str:
     """A c:param-set document of parameters (the parameters and in-scope-names steps)."""
     import html
@@ -217,3 +277,13 @@ def message(seq: DataFrame, text: str, log: Callable[[str], None] = print) -> Da
 def error(seq: DataFrame, code: str) -> DataFrame:
     """Fail with a user's code when any document is read; its content is the message."""
     return seq.withColumn("doc", F.raise_error(F.concat(F.lit(f"[{code}] "), F.coalesce("doc", F.lit("")))).cast("string"))
+
+
+def report_errors(seq: DataFrame, report: DataFrame, code: str | None = None, log: Callable[[str], None] = print, most: int = 20) -> DataFrame:
+    """Log the number of reports and the first `most` of them; with a code, reports make the documents fail with it when read."""
+    n = report.count()
+    if n:
+        log(f"{n} reports")
+        for r in report.orderBy("iter", "pos").select("doc").limit(most).collect():
+            log(r.doc)
+    return error(seq, code) if n and code else seq

@@ -113,6 +113,23 @@ class Pipeline:
         return ports
 
 
+def call(pipeline: Pipeline, port: str | None = None) -> Callable[..., DataFrame]:
+    """A pipeline as the body of a step of another one: its input ports and required options are the step's.
+
+    port: which of its steps' outputs is the result (the last one's). A
+    pipeline may call itself where a condition on options ends it: steps are
+    built when they run.
+    """
+
+    def body(**given) -> DataFrame:
+        inputs = {k: v for k, v in given.items() if k in pipeline.inputs}
+        return pipeline.run({k: v for k, v in given.items() if k not in inputs}, **inputs)[port or pipeline.primary]
+
+    kind = inspect.Parameter.KEYWORD_ONLY
+    body.__signature__ = inspect.Signature([*(inspect.Parameter(p, kind) for p in (*pipeline.inputs, *pipeline.required)), inspect.Parameter("more", inspect.Parameter.VAR_KEYWORD)])
+    return body
+
+
 def option(name: str, default=None) -> Callable[[dict], object]:
     """A step's option that takes the value of the pipeline's option when it runs."""
 

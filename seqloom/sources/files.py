@@ -160,6 +160,23 @@ def zip_entries(entries: DataFrame) -> DataFrame:
     return entries.select("path", "name", "content").groupBy("path").applyInArrow(kernel, "path string, content binary")
 
 
+def zip_update(old: DataFrame, new: DataFrame, command: str = "update") -> DataFrame:
+    """path, name, content of archives after a command with entries new(path, name, content), one join on path and name.
+
+    create: only the new entries; update: new ones replace old ones or are
+    added; freshen: they only replace; delete: the old ones that are not among
+    them. Another command: XC0999.
+    """
+    check(command in ("create", "update", "freshen", "delete"), "XC0999", command)
+    key, columns = ["path", "name"], ["path", "name", "content"]
+    if command == "create":
+        return new.select(*columns)
+    if command == "delete":
+        return old.select(*columns).join(new.select(*key), key, "left_anti")
+    both = old.select(*columns).join(new.select(*key, F.col("content").alias("_new"), F.lit(True).alias("_is")), key, "full" if command == "update" else "left")
+    return both.select(*key, F.when(F.col("_is"), F.col("_new")).otherwise(F.col("content")).alias("content"))
+
+
 def _place(spark: SparkSession, path: str, allow_effects: bool):
     """(file system, path) of Hadoop; changing files is off by default: XD0021."""
     check(allow_effects, "XD0021", "changing files is not allowed in safe mode")

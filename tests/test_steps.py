@@ -8,7 +8,7 @@ from seqloom.operators import content as C
 from seqloom.operators import match as M
 from seqloom.operators import rewrite as R
 from seqloom.operators import sequence as S
-from seqloom.plans.pipeline import Pipeline, option
+from seqloom.plans.pipeline import Pipeline, call, option
 from seqloom.sources import files
 from seqloom.sources.files import empty, inline
 from seqloom.sources.xml import parse, serialize
@@ -261,3 +261,91 @@ def test_file_utilities(spark, tmp_path):
 def test_collections(spark):
     files.register_collection(inline(spark, "<a/>"), "http://h/c")
     assert docs(files.collection(spark, "http://h/c")) == ["<a/>"] and docs(files.collection(spark, "http://h/none")) == []
+
+
+@pytest.mark.parametrize(
+    ("text", "pointer", "expected"),
+    [
+        ("a\nb\nc", "line=1,2", "b\n"),
+        ("a\r\nb\rc\n", "line=1", "b\nc\n"),
+        ("a\nb", "line=,1", "a\n"),
+        ("a\nb", "line=5,7", ""),
+        ("a\nb", "line=1,0", ""),
+        ("abc\nd", "char=1,5", "bc\nd"),
+        ("abc", "char=2", "c\n"),
+        ("", "line=0,1", ""),
+        ("", "char=0,3", ""),
+        ("abc", "char=0,1;length=3", "a"),
+    ],
+)
+def test_text_range(spark, text, pointer, expected):
+    row = spark.range(1).select(C.text_range(F.lit(text), F.lit(pointer)).alias("x"))
+    assert row.first().x == expected
+
+
+@pytest.mark.parametrize("pointer", ["word=1,2", "line=", "char=0,1;length=4", "line=a"])
+def test_text_range_errors(spark, pointer):
+    with pytest.raises(Exception) as x:
+        spark.range(1).select(C.text_range(F.lit("abc"), F.lit(pointer)).alias("x")).collect()
+    assert code_of(x.value) == "XC0029"
+
+
+def test_xinclude_of_text(spark):
+    resources = spark.createDataFrame([("http://h/t.txt", "1 < 2\n& 3")], "uri string, doc string")
+    seq = inline(spark, '<a><xi:include parse="text" href="t.txt"/></a>', '<a><xi:include href="t.txt" parse="text" xpointer="text(line=1,)"/></a>', base_uri="http://h/a.xml")
+    assert docs(C.xinclude(seq, resources)) == ["<a>1 &lt; 2\n&amp; 3</a>", "<a>&amp; 3\n</a>"]
+
+
+def test_json_of(spark):
+    rows = spark.createDataFrame([('{"n": 1, "s": "a\\"<b", "t": true}',), ('{"n": null}',)], "j string")
+    seq = rows.select(F.lit(0).cast("bigint").alias("iter"), F.length("j").cast("bigint").alias("pos"), F.lit(None).cast("string").alias("base_uri"), C.json_to_xml(F.col("j"), "n bigint, s string, t boolean").alias("doc"))
+    got = [r.json for r in C.json_of(parse(seq)).orderBy("pos").collect()]
+    assert got == ['{"n":null,"s":null,"t":null}', '{"n":1,"s":"a\\"<b","t":true}']
+    assert [r.json for r in C.json_of(parse(inline(spark, "<json/>"))).collect()] == ["{}"]
+
+
+def test_report_errors(spark):
+    said = []
+    seq = inline(spark, "<a/>")
+    assert docs(C.report_errors(seq, inline(spark, "<r>1</r>", "<r>2</r>"), log=said.append, most=1)) == ["<a/>"]
+    assert said == ["2 reports", "<r>1</r>"]
+    assert docs(C.report_errors(seq, empty(spark), "my:code")) == ["<a/>"]
+    with pytest.raises(Exception, match="my:code"):
+        docs(C.report_errors(seq, inline(spark, "<r/>"), "my:code", log=said.append))
+
+
+def test_schema_valid(spark, tmp_path):
+    xsd = tmp_path / "p.xsd"
+    xsd.write_text('<xs:schema xmlns:xs="http://www.w3.org/2001/XMLSchema"><xs:element name="p"><xs:complexType><xs:attribute name="size" type="xs:positiveInteger" use="required"/></xs:complexType></xs:element></xs:schema>')
+    seq = inline(spark, '<p size="1"></p>', '<p size="0"></p>', "<p></p>", "<q></q>")
+    report = C.schema_valid(seq, str(xsd))
+    assert [r.valid for r in report.orderBy("pos").collect()] == [True, False, False, False]
+    with pytest.raises(Exception) as x:
+        docs(C.assert_valid(seq, report.filter("not valid").withColumn("message", F.lit("schema")), "XC0053"))
+    assert code_of(x.value) == "XC0053"
+
+
+@pytest.mark.parametrize(("command", "expected"), [("create", {"b": "2", "c": "3"}), ("update", {"a": "1", "b": "2", "c": "3"}), ("freshen", {"a": "1", "b": "2"}), ("delete", {"a": "1"})])
+def test_zip_commands(spark, command, expected):
+    old = spark.createDataFrame([("z", "a", b"1"), ("z", "b", b"1")], "path string, name string, content binary")
+    new = spark.createDataFrame([("z", "b", b"2"), ("z", "c", b"3")], "path string, name string, content binary")
+    assert {r.name: bytes(r.content).decode() for r in files.zip_update(old, new, command).collect()} == expected
+
+
+def test_unknown_zip_command(spark):
+    with pytest.raises(PipelineError, match="XC0999"):
+        files.zip_update(empty(spark), empty(spark), "shred")
+
+
+def test_pipelines_call_pipelines(spark):
+    """A pipeline that calls itself, as often as its option says."""
+
+    def wrapped(depth):
+        p = Pipeline()
+        p.step("wrap", lambda source: source.withColumn("doc", F.concat(F.lit("<w>"), F.col("doc"), F.lit("</w>"))))
+        return p.step("again", call(wrapped(depth - 1))) if depth > 1 else p
+
+    assert docs(wrapped(3).run(source=inline(spark, "<a/>"))["again"]) == ["<w><w><w><a/></w></w></w>"]
+    inner = Pipeline(required=("name",))
+    with pytest.raises(PipelineError, match="XS0018"):
+        Pipeline().step("a", lambda source: source).step("b", call(inner))
