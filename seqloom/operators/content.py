@@ -201,7 +201,8 @@ def xinclude(docs: DataFrame, resources: DataFrame, most: int = 20) -> DataFrame
         got = got.withColumn("_new", F.when(F.col("_new").isNotNull() & F.col("_ref").rlike(r'^[^>]*?\bparse="text"'), as_text).otherwise(F.col("_new")))
         new = F.coalesce("_new", F.when(F.contains(F.col("_ref"), F.lit("<xi:fallback")), fallback).otherwise(fail("XC0029", "no such resource")))
         lists = got.groupBy("iter", "pos").agg(F.array_sort(F.collect_list(F.struct("_k", new.alias("v")))).alias("_got"))
-        joined = t.join(lists, ["iter", "pos"], "left")
+        # Merged, not broadcast: documents stay spread over the tasks for the steps that read them.
+        joined = t.join(lists.hint("merge"), ["iter", "pos"], "left")
         out = F.when(F.col("_got").isNull(), F.col("doc")).otherwise(F.array_join(F.zip_with("_p", "_got", lambda p, x: F.concat(p, F.coalesce(x["v"], F.lit("")))), ""))
         now = materialize(joined.withColumn("doc", out).select("iter", "pos", "base_uri", "doc"), "xinclude")
     raise PipelineError("XC0029", f"includes of more than {most} levels: a loop")

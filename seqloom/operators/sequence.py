@@ -16,7 +16,7 @@ from seqloom.functions.errors import check, fail
 from seqloom.operators.rewrite import Name, name_parts
 
 #: pos values in a bucket; pos is unique within iter, so a bucket has at most so many rows.
-BUCKET = 1 << 16
+BUCKET = 1 << 14
 
 
 def _per_bucket() -> WindowSpec:
