@@ -2,14 +2,15 @@
 
 A page with an article (or main) element gives its blocks without the menus,
 notices and forms within. The other pages' blocks are undecided: there, the
-token streams of a host's pages are concatenated, substrings repeated across
-distinct pages are found by the ranks of a suffix array, the tokens they cover
-are boilerplate and the unique runs stay. (Inside an article the suffix array
+suffixes of all token streams of a host are grouped by their first tokens, as
+in a suffix array of that depth; the tokens of substrings repeated across
+distinct pages are boilerplate and the unique runs stay. (Inside an article the suffix array
 would delete passages that several articles share, which must be kept.)
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 from collections.abc import Iterator
@@ -19,7 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.llm._spark import materialize
+from seqloom.llm import words as W
+from seqloom.llm._spark import if_small, materialize
 
 #: Elements by their part in a page.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split())
@@ -37,7 +39,11 @@ SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>?", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=/>"']+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""")
 WHITE = re.compile(r"\s+")
-TOKENS, PAGES, GROUP = 8, 3, 200
+TOKENS, PAGES = 8, 3
+#: Pages whose tokens are hashed at a time.
+SLICE = 256
+#: A run on more rows than this is looked up by a broadcast; so are the others where they are at most so many.
+HOT, BROADCAST_RUNS = 100_000, 1_000_000
 
 
 def _chrome(name: str, attributes: str) -> int:
@@ -132,7 +138,8 @@ def repeated(pages: list[list[str]], tokens: int = TOKENS, least: int = PAGES) -
 
     The ranks of all suffixes by their first 1, 2, 4, ... tokens are those of a
     suffix array under construction by prefix doubling; at `tokens` equal ranks
-    are equal runs. No run leaves its page.
+    are equal runs. No run leaves its page. This is the one-host, in-memory
+    form of what main_text() does by shuffles.
     """
     sizes = np.array([len(p) for p in pages], dtype=np.int64)
     if not sizes.sum():
@@ -157,38 +164,95 @@ def repeated(pages: list[list[str]], tokens: int = TOKENS, least: int = PAGES) -
     return np.split(np.cumsum(edge[:-1]) > 0, np.cumsum(sizes)[:-1])
 
 
-def _keep_unique(table: pa.Table) -> pa.Table:
-    pages = [[b.split(" ") for b in x] for x in table.column("blocks").to_pylist()]
-    marks = repeated([[t for b in p for t in b] for p in pages])
-    texts = []
-    for page, mark in zip(pages, marks, strict=True):
-        at, kept = 0, []
-        for b in page:
-            kept.append(" ".join(t for t, drop in zip(b, mark[at : at + len(b)], strict=True) if not drop))
-            at += len(b)
-        texts.append("\n".join(b for b in kept if b))
-    return pa.table({"page_id": table.column("page_id"), "url": table.column("url"), "text": pa.array(texts, pa.string())})
+def _runs(pages: list[list[list[str]]], hosts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of the host and the first TOKENS tokens of every suffix that has so many, joined; their number for each page)."""
+    known: dict[str, int] = {}
+
+    def code(x: str) -> int:
+        got = known.get(x)
+        if got is None:
+            got = known[x] = int.from_bytes(hashlib.blake2b(x.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+        return got
+
+    tokens = [[code(t) for b in p for t in b] for p in pages]
+    counts = np.array([len(t) for t in tokens], dtype=np.int64)
+    runs, n = W.windows(np.array([t for p in tokens for t in p], dtype=np.uint64), counts, TOKENS, short=False)
+    return W.mix(runs ^ np.repeat(np.array([code(h) for h in hosts], dtype=np.uint64), n)), n
+
+
+def _tokens(batch: pa.RecordBatch) -> list[list[list[str]]]:
+    return [[b.split(" ") for b in x] for x in batch.column("blocks").to_pylist()]
+
+
+def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return (batch.slice(at, SLICE) for batch in batches for at in range(0, batch.num_rows, SLICE))
+
+
+def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """run, page, row: each run of a page once."""
+    for batch in _sliced(batches):
+        runs, n = _runs(_tokens(batch), batch.column("host").to_pylist())
+        own = [np.unique(r) for r in np.split(runs, np.cumsum(n)[:-1])]
+        per = [len(r) for r in own]
+        page, row = (np.repeat(batch.column(c).to_numpy(), per) for c in ("page", "row"))
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own).view(np.int64)), pa.array(page), pa.array(row)], names=["run", "page", "row"])
+
+
+def _keep_unique(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """page_id, url, text without the tokens of the runs listed for each page."""
+    for batch in _sliced(batches):
+        pages, texts = _tokens(batch), []
+        runs, n = _runs(pages, batch.column("host").to_pylist())
+        for page, own, gone in zip(pages, np.split(runs, np.cumsum(n)[:-1]), batch.column("runs").to_pylist(), strict=True):
+            begins = np.flatnonzero(np.isin(own.view(np.int64), np.array(gone or [], dtype=np.int64)))
+            edge = np.zeros(sum(map(len, page)) + 1, dtype=np.int64)
+            np.add.at(edge, begins, 1)
+            np.add.at(edge, begins + TOKENS, -1)
+            mark, at, kept = np.cumsum(edge[:-1]) > 0, 0, []
+            for b in page:
+                kept.append(" ".join(t for t, drop in zip(b, mark[at : at + len(b)], strict=True) if not drop))
+                at += len(b)
+            texts.append("\n".join(b for b in kept if b))
+        yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
+
+
+def _without_repeats(pages: DataFrame) -> DataFrame:
+    """page_id, url, text of pages(row, page_id, url, host, blocks) without the runs that PAGES different pages of the host have.
+
+    Suffixes are shuffled, not pages: those that begin with the same TOKENS
+    tokens on one host meet wherever their pages are, and are counted with
+    partial sums, so neither a host nor a run is one task's. Pages of a host
+    with equal blocks count as one.
+    """
+    keyed = pages.withColumn("page", F.xxhash64("host", F.array_join("blocks", "\n")))
+    pairs = materialize(keyed.select("row", "page", "host", "blocks").mapInArrow(_suffixes, "run long, page long, row long"), "page-runs")
+    per = pairs.groupBy("run", "page").agg(F.count(F.lit(1)).alias("n"))
+    counts = materialize(per.groupBy("run").agg(F.count(F.lit(1)).alias("pages"), F.sum("n").alias("n")).filter(F.col("pages") >= PAGES).select("run", "n"), "page-repeats")
+    # Runs on very many pages are few by their number; joined by a shuffle, each would be one task's.
+    hot = F.broadcast(counts.filter(F.col("n") > HOT).select("run"))
+    cold = if_small(counts.filter(F.col("n") <= HOT).select("run"), BROADCAST_RUNS)
+    found = pairs.join(hot, "run", "left_semi").unionByName(pairs.join(hot, "run", "left_anti").join(cold, "run", "left_semi"))
+    gone = found.groupBy("row").agg(F.collect_list("run").alias("runs"))
+    return keyed.join(gone, "row", "left").select("page_id", "url", "host", "blocks", "runs").mapInArrow(_keep_unique, "page_id long, url string, text string")
 
 
 def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars for every row of pages(page_id, url, html).
 
-    Pages with an article or main element are decided row by row. The others
-    go by host, in groups of some 200 pages dealt by hash so that a host of any
-    size fits a task, through the suffix array. Null html: empty text; a null
-    url is a host; repeated rows stay (and are distinct pages); other columns
-    are ignored; an empty table gives no rows.
+    Pages with an article or main element are decided row by row. From the
+    others, runs of TOKENS tokens that PAGES different pages of the whole host
+    have are taken out. Null html: empty text; a null url is a host; repeated
+    rows stay (and are one page of the host); other columns are ignored; an
+    empty table gives no rows.
     """
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = [blocks(x or "") for x in batch.column("html").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array([b for b, _ in got], pa.list_(pa.string())), pa.array([d for _, d in got])], names=["page_id", "url", "blocks", "decided"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("page_id"), batch.column("url"), pa.array([b for b, _ in got], pa.list_(pa.string())), pa.array([d for _, d in got])], names=["row", "page_id", "url", "blocks", "decided"])
 
-    cut = materialize(pages.select("page_id", "url", "html").mapInArrow(kernel, "page_id long, url string, blocks array<string>, decided boolean"), "page-blocks")
+    numbered = pages.select(F.monotonically_increasing_id().alias("row"), "page_id", "url", "html")
+    cut = materialize(numbered.mapInArrow(kernel, "row long, page_id long, url string, blocks array<string>, decided boolean"), "page-blocks")
     decided = cut.filter("decided or size(blocks) = 0").select("page_id", "url", F.array_join("blocks", "\n").alias("text"))
     open_pages = cut.filter("not decided and size(blocks) > 0").withColumn("host", F.coalesce(F.lower(F.regexp_extract("url", r"^[a-zA-Z]+://([^/?#]*)", 1)), F.lit("")))
-    counts = open_pages.groupBy("host").agg(F.ceil(F.count(F.lit(1)) / GROUP).alias("groups"))
-    dealt = open_pages.join(counts, "host").withColumn("part", F.pmod(F.xxhash64("page_id", "url", F.array_join("blocks", "\n")), F.col("groups")))
-    unique = dealt.select("host", "part", "page_id", "url", "blocks").groupBy("host", "part").applyInArrow(_keep_unique, "page_id long, url string, text string")
-    return decided.unionByName(unique).withColumn("n_chars", F.length("text").cast("long"))
+    return decided.unionByName(_without_repeats(open_pages)).withColumn("n_chars", F.length("text").cast("long"))
