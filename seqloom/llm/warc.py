@@ -10,7 +10,9 @@ merged with those that a 304 answer may update.
 from __future__ import annotations
 
 import gzip
+import re
 from collections.abc import Iterator
+from datetime import UTC, datetime, timedelta
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -20,9 +22,16 @@ from seqloom.llm._spark import materialize
 
 #: Headers that a 304 answer may update in a stored response.
 MERGED = ("cache-control", "content-location", "date", "etag", "expires", "vary", "age", "last-modified")
+PROFILE = "http://netpreserve.org/warc/1.1/revisit/server-not-modified"
 #: Captures of one URL are dealt to tasks by spans of so many seconds.
 SPAN = 3600
 RECORD = "record_id long, kind string, url string, ts long, headers map<string,string>, digest string, body binary"
+#: What parse_warc gives: record_key is the whole WARC-Record-ID without its brackets; record_id its number, if to_warc wrote it.
+PARSED = RECORD + ", record_key string"
+#: Dates as WARC/1.0 and 1.1 write them, of any precision from the year to parts of a second.
+DATE = re.compile(r"(\d{4})(?:-(\d\d)(?:-(\d\d)(?:[Tt ](\d\d):(\d\d)(?::(\d\d)(?:\.\d+)?)?(?:[Zz]|([+-])(\d\d):?(\d\d))?)?)?)?")
+EPOCH = datetime(1970, 1, 1, tzinfo=UTC)
+NUMBERED = re.compile(r"urn:record:(-?\d{1,19})")
 
 
 def canonical_url(url: Column) -> Column:
@@ -37,8 +46,41 @@ def canonical_url(url: Column) -> Column:
     return F.concat(F.regexp_replace(F.regexp_replace(F.lower(host), r"^www\.", ""), r":(80|443)$", ""), F.regexp_replace(path, r"/+$", ""))
 
 
+def _seconds(date: str) -> int | None:
+    """Seconds since 1970 of a WARC-Date (null if it is none); a number that is no year is such seconds, as _date() writes what has no date."""
+    m = DATE.fullmatch(date)
+    if not m:
+        return int(date) if re.fullmatch(r"-?\d{1,18}", date) else None
+    year, month, day, hour, minute, second = (int(x) if x else k for x, k in zip(m.groups()[:6], (0, 1, 1, 0, 0, 0), strict=True))
+    try:
+        at = datetime(year, month, day, hour, minute, min(second, 59), tzinfo=UTC)
+    except ValueError:
+        return None
+    offset = (int(m[8]) * 3600 + int(m[9]) * 60) * (-1 if m[7] == "-" else 1) if m[7] else 0
+    return (at - EPOCH) // timedelta(seconds=1) + (second == 60) - offset
+
+
+def _date(ts: int | None) -> str | None:
+    """ISO 8601 of seconds since 1970; beyond the years 1 to 9999, the seconds themselves."""
+    if ts is None:
+        return None
+    try:
+        return (EPOCH + timedelta(seconds=ts)).strftime("%Y-%m-%dT%H:%M:%SZ").rjust(20, "0")
+    except OverflowError:
+        return str(ts)
+
+
+def _number(key: str) -> int | None:
+    m = NUMBERED.fullmatch(key)
+    return int(m[1]) if m and -(1 << 63) <= int(m[1]) < 1 << 63 else None
+
+
 def to_warc(records: DataFrame, compress: bool = True) -> DataFrame:
-    """record_id, content: each record as WARC/1.1 bytes, a gzip member of its own."""
+    """record_id, content: each record as WARC/1.1 bytes, a gzip member of its own.
+
+    The WARC-Record-ID is record_key where the records have one, else made of record_id.
+    """
+    names = [x.split()[0] for x in RECORD.split(", ")] + [c for c in ("record_key",) if c in records.columns]
 
     def render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -47,13 +89,13 @@ def to_warc(records: DataFrame, compress: bool = True) -> DataFrame:
                 revisit = r["kind"] == "revisit"
                 http = ("HTTP/1.1 304 Not Modified" if revisit else "HTTP/1.1 200 OK") + "".join(f"\r\n{k}: {v}" for k, v in r["headers"] or [] if v is not None) + "\r\n\r\n"
                 block = http.encode() + (b"" if revisit else r["body"] or b"")
-                named = {"WARC-Type": r["kind"], "WARC-Record-ID": f"<urn:record:{r['record_id']}>", "WARC-Target-URI": r["url"], "WARC-Date": r["ts"], "WARC-Payload-Digest": r["digest"], "Content-Type": "application/http;msgtype=response", "Content-Length": len(block)}
+                named = {"WARC-Type": r["kind"], "WARC-Record-ID": f"<{r.get('record_key') or 'urn:record:' + str(r['record_id'])}>", "WARC-Target-URI": r["url"], "WARC-Date": _date(r["ts"]), "WARC-Profile": PROFILE if revisit else None, "WARC-Payload-Digest": r["digest"], "Content-Type": "application/http;msgtype=response", "Content-Length": len(block)}
                 head = "WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in named.items() if v is not None) + "\r\n"
                 data = head.encode() + block + b"\r\n\r\n"
                 out.append(gzip.compress(data, 1, mtime=0) if compress else data)
             yield pa.RecordBatch.from_arrays([batch.column("record_id"), pa.array(out, pa.binary())], names=["record_id", "content"])
 
-    return records.select(*[x.split()[0] for x in RECORD.split(", ")]).mapInArrow(render, "record_id long, content binary")
+    return records.select(*names).mapInArrow(render, "record_id long, content binary")
 
 
 def _fields(head: bytes) -> dict[str, str]:
@@ -64,7 +106,9 @@ def _fields(head: bytes) -> dict[str, str]:
 def parse_warc(files: DataFrame, bodies: bool = True) -> DataFrame:
     """The response and revisit records in files(content), such as spark.read.format("binaryFile") gives; gzip or plain.
 
-    Other kinds of record are passed over; a record cut off at the end of a
+    ts: WARC-Date as seconds since 1970. record_key: WARC-Record-ID, as
+    '<urn:uuid:...>' without the brackets. A target in brackets (WARC/1.0) is
+    read without them. Other kinds of record are passed over; a record cut off at the end of a
     file is dropped. Null content has no records.
     """
 
@@ -80,35 +124,38 @@ def parse_warc(files: DataFrame, bodies: bool = True) -> DataFrame:
                     if len(block) < size or named.get("warc-type") not in ("response", "revisit"):
                         continue
                     head, _, body = block.partition(b"\r\n\r\n")
-                    number = named.get("warc-record-id", "").rpartition(":")[2].rstrip(">")
-                    rows.append((int(number) if number.lstrip("-").isdigit() else None, named["warc-type"], named.get("warc-target-uri"), int(named["warc-date"]) if named.get("warc-date", "").isdigit() else None, list(_fields(head).items()), named.get("warc-payload-digest"), body if bodies else None))
-            columns = list(zip(*rows, strict=True)) or [[]] * 7
-            kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.map_(pa.string(), pa.string()), pa.string(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in RECORD.split(", ")])
+                    key, url = named.get("warc-record-id", "").strip("<>"), named.get("warc-target-uri")
+                    if url and url[0] == "<" and url[-1] == ">":
+                        url = url[1:-1]
+                    rows.append((_number(key), named["warc-type"], url, _seconds(named.get("warc-date", "")), list(_fields(head).items()), named.get("warc-payload-digest"), body if bodies else None, key or None))
+            columns = list(zip(*rows, strict=True)) or [[]] * 8
+            kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.map_(pa.string(), pa.string()), pa.string(), pa.binary(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in PARSED.split(", ")])
 
-    return files.select("content").mapInArrow(parse, RECORD)
+    return files.select("content").mapInArrow(parse, PARSED)
 
 
 def resolve_revisits(records: DataFrame, span: int = SPAN) -> DataFrame:
-    """record_id, url, ts, response_id, outcome, digest, headers for every revisit record.
+    """record_id, url, ts, response_id, outcome, digest, headers, record_key, response_key for every revisit record.
 
     outcome: resolved, mismatch (a validator of both differs; response_id is
     kept, headers are the revisit's own) or no_response (none is earlier; of
     equal times, a response counts as earlier; of equal responses, the greater
-    record_id). A null time is before all others; null URLs are one URL;
-    repeated revisits stay. Bodies are not shuffled: fetch them by response_id.
+    record_id, then record_key, which is null where the records have none). A null time is before all others; null URLs are one URL;
+    repeated revisits stay. Bodies are not shuffled: fetch them by response_key, or by response_id.
     The captures of one URL are split by time, so a URL with a third of all
     captures is spread; only one row a span is ordered by URL alone.
     """
     key = canonical_url(F.col("url"))
-    slim = records.select(key.alias("key"), F.coalesce("ts", F.lit(-(1 << 62))).alias("at"), "record_id", "kind", "url", "ts", "digest", "headers").withColumn("bucket", F.floor(F.col("at") / span))
+    record_key = F.col("record_key") if "record_key" in records.columns else F.lit(None).cast("string").alias("record_key")
+    slim = records.select(key.alias("key"), F.coalesce("ts", F.lit(-(1 << 62))).alias("at"), "record_id", record_key, "kind", "url", "ts", "digest", "headers").withColumn("bucket", F.floor(F.col("at") / span))
     # Read three times below: the records are parsed once.
     slim = materialize(slim, "warc-captures")
-    answer = F.when(F.col("kind") == "response", F.struct("at", "record_id", "digest", "headers"))
-    inside = Window.partitionBy("key", "bucket").orderBy("at", F.col("kind") == "revisit", "record_id").rowsBetween(Window.unboundedPreceding, 0)
+    answer = F.when(F.col("kind") == "response", F.struct("at", "record_id", "record_key", "digest", "headers"))
+    inside = Window.partitionBy("key", "bucket").orderBy("at", F.col("kind") == "revisit", "record_id", "record_key").rowsBetween(Window.unboundedPreceding, 0)
     with_own = slim.withColumn("own", F.last(answer, ignorenulls=True).over(inside)).filter(F.col("kind") == "revisit")
     # max() of a struct with a map is not defined: the last response of a bucket is found by its place.
-    lasts = slim.filter(F.col("kind") == "response").groupBy("key", "bucket").agg(F.max_by(F.struct("at", "record_id", "digest", "headers"), F.struct("at", "record_id")).alias("last"))
+    lasts = slim.filter(F.col("kind") == "response").groupBy("key", "bucket").agg(F.max_by(F.struct("at", "record_id", "record_key", "digest", "headers"), F.struct("at", "record_id", "record_key")).alias("last"))
     marks = with_own.select("key", "bucket").distinct().join(lasts, ["key", "bucket"], "full_outer")
     before = Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     earlier = marks.withColumn("earlier", F.last("last", ignorenulls=True).over(before)).select("key", "bucket", "earlier")
@@ -126,7 +173,7 @@ def resolve_revisits(records: DataFrame, span: int = SPAN) -> DataFrame:
     newer = F.map_filter(own, lambda k, v: k.isin(*MERGED))
     kept = F.map_filter(F.col("r.headers"), lambda k, v: ~F.map_contains_key(newer, k))
     merged = F.when(outcome == "resolved", F.map_concat(F.coalesce(kept, F.create_map().cast("map<string,string>")), newer)).otherwise(own)
-    return joined.select("record_id", "url", "ts", F.col("r.record_id").alias("response_id"), outcome.alias("outcome"), F.when(outcome == "resolved", F.col("r.digest")).alias("digest"), merged.alias("headers"))
+    return joined.select("record_id", "url", "ts", F.col("r.record_id").alias("response_id"), outcome.alias("outcome"), F.when(outcome == "resolved", F.col("r.digest")).alias("digest"), merged.alias("headers"), "record_key", F.col("r.record_key").alias("response_key"))
 
 
 def records_of_pages(pages: DataFrame, after: int = 86_400) -> DataFrame:
