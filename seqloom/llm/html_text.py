@@ -29,8 +29,14 @@ DROPPED = frozenset("nav header footer aside form menu dialog head title script
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES_P = BLOCKS - frozenset("body html option caption legend tbody td tfoot th thead tr title".split())
-ROLES = frozenset("navigation banner contentinfo complementary search dialog alert form menu menubar".split())
-CHROME = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|cookies?|consent|notice|alert|popup|modal|newsletter|subscribe|comments?|disqus|respond|replies|share|social|related|pagination|widget)(?:$|[\s_-])", re.I)
+ROLES = frozenset("navigation banner contentinfo complementary search dialog alert menu menubar".split())
+#: What may stand in a head; other elements and text end it.
+HEAD = frozenset("head title meta link base script style noscript template basefont bgsound noframes".split())
+COMMENTS = re.compile(r"(?:^|[\s_-])(?:comments?|disqus|respond|replies)(?:$|[\s_-])", re.I)
+#: Words of notices and teasers; an article inside counts if the page has none elsewhere.
+CHROME = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|cookies?|consent|notice|alert|popup|modal|newsletter|subscribe|share|social|related|pagination|widget)(?:$|[\s_-])", re.I)
+#: Classes that tell what a page has or lacks, not what the element is.
+STATES = re.compile(r"(?:^|(?<=\s))(?:(?:no|has|with|without)[_-]\S*|comments?[_-](?:open|closed|enabled|disabled|off|on))(?=\s|$)", re.I)
 #: Words that may also name the layout around an article: an article or main element inside undoes them.
 LAYOUT = re.compile(r"(?:^|[\s_-])(?:banner|nav|navbar|navigation|menu|breadcrumbs?|sidebar|footer|header|masthead)(?:$|[\s_-])", re.I)
 #: Elements that end an open one of the same group.
@@ -47,47 +53,62 @@ HOT, BROADCAST_RUNS = 100_000, 1_000_000
 
 
 def _chrome(name: str, attributes: str) -> int:
-    """2: not part of the text; 1: not, unless an article or main element is inside; 0: may be."""
-    if name in DROPPED:
-        return 2
+    """3: not part of the text; 2: not, unless the page's only article or main element is inside; 1: not, unless any is inside; 0: may be."""
+    if name in DROPPED and name != "form":
+        return 3
     if not attributes or name in ("html", "body", "article", "main"):
-        return 0
-    found = 0
+        return int(name == "form")
+    found = int(name == "form")
     for m in ATTRIBUTE.finditer(attributes):
         key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if key in ("class", "id"):
-            found = max(found, 2 if CHROME.search(value) else 1 if LAYOUT.search(value) else 0)
+            value = STATES.sub(" ", value) if "-" in value or "_" in value else value
+            found = max(found, 3 if COMMENTS.search(value) else 2 if CHROME.search(value) else 1 if LAYOUT.search(value) else 0)
         elif key == "role" and value.lower() in ROLES or key == "aria-hidden" and value == "true":
-            return 2
-    return 2 if re.search(r"(?:^|\s)hidden(?:\s|$|=)", ATTRIBUTE.sub(" ", attributes)) else found
+            return 3
+        elif key == "role" and value.lower() == "form":
+            found = max(found, 1)
+    return 3 if re.search(r"(?:^|\s)hidden(?:\s|$|=)", ATTRIBUTE.sub(" ", attributes)) else found
 
 
 def blocks(page: str) -> tuple[list[str], bool]:
-    """(texts of the page's blocks, whether they are of an article or main element; else of the whole page, undecided)."""
-    inside: list[tuple[str, int, bool]] = []  # open elements: name, in chrome, in article
-    main: list[str] = []
-    rest: list[str] = []
+    """(texts of the page's blocks, whether they are of an article or main element; else of the whole page, undecided).
+
+    Both are taken where chrome is least: articles outside notices and teasers
+    before those inside; without any text in an article, the text outside
+    layout and forms, then that inside, then that of notices and teasers.
+    Menus, footers, comment lists and hidden elements never.
+    """
+    inside: list[tuple[str, int, int]] = []  # open elements: name, chrome (within the article, if in one), of the article (-1: in none)
+    main: list[list[str]] = [[], [], []]
+    rest: list[list[str]] = [[], [], []]
     text: list[str] = []
-    chrome, article, found = 0, False, False
+    chrome, article = 0, -1
+
+    def shown() -> bool:
+        return chrome < 3 and (article < 0 or not chrome)
 
     def flush() -> None:
         if text:
             joined = WHITE.sub(" ", html.unescape("".join(text))).strip()
             text.clear()
-            if joined and not chrome:
-                (main if article else rest).append(joined)
+            if joined and shown():
+                (rest[chrome] if article < 0 else main[article]).append(joined)
 
     def leave(k: int) -> None:
         nonlocal chrome, article
         flush()
         del inside[k:]
-        chrome, article = inside[-1][1:] if inside else (0, False)
+        chrome, article = inside[-1][1:] if inside else (0, -1)
 
     at, size = 0, len(page)
     while at < size:
         m = TAG.search(page, at)
-        if not chrome:
-            text.append(page[at : m.start() if m else size])
+        part = page[at : m.start() if m else size]
+        if inside and inside[-1][0] == "head" and part.strip():
+            leave(len(inside) - 1)
+        if shown():
+            text.append(part)
         if not m:
             break
         at, name = m.end(), (m[2] or "").lower()
@@ -102,6 +123,11 @@ def blocks(page: str) -> tuple[list[str], bool]:
                 if name in BLOCKS:
                     flush()
             continue
+        if name not in HEAD:
+            for k in range(len(inside)):
+                if inside[k][0] == "head" and (name == "body" or k == len(inside) - 1):
+                    leave(k)
+                    break
         if name == "br":
             text.append(" ")
             continue
@@ -126,11 +152,12 @@ def blocks(page: str) -> tuple[list[str], bool]:
             continue
         flush()
         chrome = max(chrome, own)
-        if name in ("article", "main") and chrome < 2:
-            chrome, article, found = 0, True, True
+        if name in ("article", "main") and chrome < 3:
+            chrome, article = 0, max(article, chrome if chrome == 2 else 0)
         inside.append((name, chrome, article))
     flush()
-    return (main, True) if found else (rest, False)
+    decided = next((x for x in main if x), None)
+    return (decided, True) if decided else (next((x for x in rest if x), []), False)
 
 
 def repeated(pages: list[list[str]], tokens: int = TOKENS, least: int = PAGES) -> list[np.ndarray]:
