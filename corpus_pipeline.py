@@ -27,18 +27,28 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class stays: the one of the least id; of repeated rows with that id, one. Rows without an id cannot be told apart and stay."""
-    classes = materialize(ngram_join.jaccard_classes(docs), "pipeline-classes")
+    """One row of each class stays: the one of the least id (null last), then of the least key of id and text; of rows equal in these, one.
+
+    Decided row by row: an id may be repeated with other texts, and rows
+    without an id are told apart by their classes.
+    """
+    classes = materialize(ngram_join.jaccard_classes(docs, uid=decontaminate.row_key()), "pipeline-classes")
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "uid")
+    leads = classes.groupBy("set_key").agg(F.min(place).alias("lead"), F.max(place).alias("last"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    leads = materialize(leads.select("set_key", F.col("lead.uid").alias("_lead"), (F.col("lead.uid") != F.col("last.uid")).alias("differ")), "pipeline-leads")
     # The rows that go are few beside those that stay, so the filter is an anti join with them.
-    leads = F.col("doc_id").eqNullSafe(F.col("class_id"))
-    losers = classes.filter(~leads & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_id")).distinct()
-    rows = docs.select(*COLUMNS)
-    kept = rows.join(if_small(losers, BROADCAST_IDS), F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
-    repeated = materialize(classes.filter(leads & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("doc_id").alias("_id")), "pipeline-repeated")
+    losers = classes.join(if_small(leads.filter("differ"), BROADCAST_IDS), "set_key").filter("uid <> _lead").select(F.col("uid").alias("_uid")).distinct()
+    losers = materialize(losers, "pipeline-losers")
+    rows = docs.select(*COLUMNS, decontaminate.row_key().alias("uid"))
+    same = F.col("uid") == F.col("_uid")
+    kept = rows.join(if_small(losers, BROADCAST_IDS), same, "left_anti")
+    again = classes.join(if_small(leads, BROADCAST_IDS), "set_key").filter("uid = _lead").groupBy("uid").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    repeated = materialize(again.select(F.col("uid").alias("_uid")), "pipeline-repeated")
     if not repeated.limit(1).count():
-        return kept
-    same = F.col("doc_id").eqNullSafe(F.col("_id"))
-    return kept.join(repeated, same, "left_anti").unionByName(kept.join(repeated, same, "left_semi").dropDuplicates(["doc_id"]))
+        return kept.select(*COLUMNS)
+    repeated = if_small(repeated, BROADCAST_IDS)
+    one = kept.join(repeated, same, "left_semi").groupBy("uid").agg(F.min(F.struct(*COLUMNS)).alias("row")).select("row.*")
+    return kept.join(repeated, same, "left_anti").select(*COLUMNS).unionByName(one)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
