@@ -21,26 +21,49 @@ ROUNDS = 8
 #: One pattern for each kind, tried in this order at each place.
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
-    "secret": r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})(?![0-9A-Za-z])",
+    "secret": r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,64}|[0-9A-F]{32,64}|sk-[A-Za-z0-9_-]{20,200}|AKIA[0-9A-Z]{16}|ghp_[A-Za-z0-9]{36})(?![0-9A-Za-z])",
     "phone": r"(?<![\w+])\+\d{1,3}[ .-]?\(?\d{2,4}\)?[ .-]\d{3}[ .-]?\d{4}(?!\d)",
+    "national": r"(?<![\w+.(-])(?:\([2-9]\d{2}\) ?|[2-9]\d{2}[ .-])[2-9]\d{2}[ .-]\d{4}(?![\w-]|\.\d)",
     "ssn": r"(?<![\d.-])\d{3}-\d{2}-\d{4}(?![\d-])",
-    "card": r"(?<![\d.-])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3})(?!\d)",
+    "card": r"(?<![\d.-])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{5})(?!\d)",
     "ip": r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\d|\.\d)",
-    "date": r"(?<![\d-])(?:19|20)\d{2}-\d{2}-\d{2}(?![\d-])",
+    "date": r"(?<![\d./-])(?:(?:19|20)\d{2}-\d{2}-\d{2}|\d{2}/\d{2}/(?:19|20)\d{2}|\d{2}\.\d{2}\.(?:19|20)\d{2})(?![\d/-]|\.\d)",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: A text without any of these holds no value of any kind (a secret without a digit is not one).
 HINT = "[0-9@]"
-#: Days from 1900-01-01 to 2099-12-31, both included.
-DAYS = 73_049
+#: Days from 1900-01-01 to 2099-12-31, both included, as a product.
+DAYS = (17, 4297)
+#: Area numbers that are given out (001 to 899 without 666), and group and serial numbers (01 to 99, 0001 to 9999).
+SSNS = (898, 99 * 9999)
+#: Area codes 200 to 999; exchanges 200 to 999 with line numbers.
+NATIONAL = (800, 800 * 10_000)
+#: A kind's date format, by the shape of the value.
+DATES = {r"^\d{4}-": "yyyy-MM-dd", r"^\d\d/": "MM/dd/yyyy", r"^\d\d\.": "dd.MM.yyyy"}
 
 
-def _round(key: str, kind: str, k: int, half: Column, n: Column) -> Column:
+def _round(key: Column, kind: str, k: int, half: Column, n: Column) -> Column:
     """A keyed round function: 15 hexadecimal digits of SHA-256, below 2 ** 60."""
-    return F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(key), F.lit(kind), F.lit(k), n, half), 256), 1, 15), 16, 10).cast("decimal(20,0)")
+    return F.conv(F.substring(F.sha2(F.concat_ws("|", key, F.lit(kind), F.lit(k), n, half), 256), 1, 15), 16, 10).cast("decimal(20,0)")
 
 
-def feistel(digits: Column, key: str, kind: str, undo: bool = False) -> Column:
+def feistel_pair(place: Column, sizes: tuple[int, int], key: Column, kind: str, undo: bool = False) -> Column:
+    """A permutation of 0 .. a * b - 1 for sizes (a, b): a Feistel network on the residues of a place, exact without any search."""
+    a, b = sizes
+
+    def step(k: int, s: Column) -> Column:
+        side, other, size = ("a", "b", a) if k % 2 == 0 else ("b", "a", b)
+        f = F.pmod(_round(key, kind, k, s[other].cast("string"), F.lit(f"{a}x{b}")), F.lit(size)).cast("long")
+        new = F.pmod(s[side] - f if undo else s[side] + f, F.lit(size).cast("long"))
+        return F.struct((new if side == "a" else s["a"]).alias("a"), (new if side == "b" else s["b"]).alias("b"))
+
+    state = let(place.cast("long"), lambda p: F.struct(F.floor(p / b).cast("long").alias("a"), F.pmod(p, F.lit(b).cast("long")).alias("b")))
+    for k in reversed(range(ROUNDS)) if undo else range(ROUNDS):
+        state = let(state, partial(step, k))
+    return let(state, lambda s: s["a"] * b + s["b"])
+
+
+def feistel(digits: Column, key: Column, kind: str, undo: bool = False) -> Column:
     """A permutation of the strings of n decimal digits, 2 <= n <= 36, by an unbalanced Feistel network."""
 
     def start(d: Column) -> Column:
@@ -89,48 +112,47 @@ def _digits(value: Column) -> Column:
     return F.regexp_replace(value, r"\D", "")
 
 
-def cycle(value: Column, key: str, kind: str, width: int, limit: int, undo: bool = False) -> Column:
-    """A permutation of 0 .. limit - 1: repeat the one of width digits until inside.
-
-    At 256 of 1,000 values, 60 repetitions do not suffice once in 5e7 keys and
-    values; the result is then null, and the caller writes a fixed value.
-    """
-
-    def walk(v: Column) -> Column:
-        return let(feistel(F.lpad(v.cast("string"), width, F.lit("0")), key, kind, undo), lambda x: x.cast("int"))
-
-    return F.aggregate(
-        F.sequence(F.lit(1), F.lit(60)),
-        F.struct(value.cast("int").alias("v"), F.lit(False).alias("done")),
-        lambda a, _: F.when(a["done"], a).otherwise(let(walk(a["v"]), lambda w: F.struct(w.alias("v"), (w < limit).alias("done")))),
-        lambda a: F.when(a["done"], a["v"]),
-    )
-
-
-def _digest(value: Column, key: str) -> Column:
-    return F.sha2(F.concat_ws("|", F.lit(key), F.lit("text"), value), 256)
+def _digest(value: Column, key: Column) -> Column:
+    return F.sha2(F.concat_ws("|", key, F.lit("text"), value), 256)
 
 
-def _email(v: Column, key: str, undo: bool) -> Column:
+def _email(v: Column, key: Column, undo: bool) -> Column:
     return F.concat(F.lit("u"), F.substring(_digest(F.lower(v), key), 1, 12), F.lit("@"), F.substring_index(v, "@", -1))
 
 
-def _secret(v: Column, key: str, undo: bool) -> Column:
-    new = F.substring(_digest(v, key), F.lit(1), F.length(v))
+def _secret(v: Column, key: Column, undo: bool) -> Column:
+    # Known prefixes stay; longer secrets than a digest take more of them.
+    prefix = F.regexp_extract(v, r"^(?:sk-|AKIA|ghp_)?", 0)
+    n = F.length(v) - F.length(prefix)
+    new = F.concat(prefix, F.substring(F.array_join(F.transform(F.sequence(F.lit(0), F.floor((n - 1) / 64).cast("int")), lambda i: _digest(F.concat(v, F.when(i > 0, i.cast("string")).otherwise("")), key)), ""), F.lit(1), n))
     return F.when(v == F.upper(v), F.upper(new)).otherwise(new)
 
 
-def _phone(v: Column, key: str, undo: bool) -> Column:
+def _phone(v: Column, key: Column, undo: bool) -> Column:
     country = F.regexp_extract(v, r"^\+\d{1,3}", 0)
     rest = F.substring(v, F.length(country) + 1, F.length(v))
     return F.concat(country, _fill(rest, feistel(_digits(rest), key, "phone", undo)))
 
 
-def _ssn(v: Column, key: str, undo: bool) -> Column:
-    return _fill(v, feistel(_digits(v), key, "ssn", undo))
+def _national(v: Column, key: Column, undo: bool) -> Column:
+    def renew(d: Column) -> Column:
+        place = (F.substring(d, 1, 3).cast("long") - 200) * NATIONAL[1] + (F.substring(d, 4, 3).cast("long") - 200) * 10_000 + F.substring(d, 7, 4).cast("long")
+        return let(feistel_pair(place, NATIONAL, key, "national", undo), lambda p: F.concat((F.floor(p / NATIONAL[1]) + 200).cast("string"), F.lpad((F.pmod(p, F.lit(NATIONAL[1]).cast("long")) + 2_000_000).cast("string"), 7, "0")))
 
+    return _fill(v, let(_digits(v), renew))
 
-def _card(v: Column, key: str, undo: bool) -> Column:
+
+def _ssn(v: Column, key: Column, undo: bool) -> Column:
+    def renew(d: Column) -> Column:
+        area = F.substring(d, 1, 3).cast("long")
+        place = (area - F.when(area < 666, 1).otherwise(2)) * SSNS[1] + (F.substring(d, 4, 2).cast("long") - 1) * 9999 + F.substring(d, 6, 4).cast("long") - 1
+        return let(feistel_pair(place, SSNS, key, "ssn", undo), lambda p: let(F.floor(p / SSNS[1]), lambda a: let(F.pmod(p, F.lit(SSNS[1]).cast("long")), lambda r: F.concat(
+            F.lpad((a + F.when(a < 665, 1).otherwise(2)).cast("string"), 3, "0"), F.lpad((F.floor(r / 9999) + 1).cast("string"), 2, "0"), F.lpad((F.pmod(r, F.lit(9999).cast("long")) + 1).cast("string"), 4, "0")))))
+
+    return _fill(v, let(_digits(v), renew))
+
+
+def _card(v: Column, key: Column, undo: bool) -> Column:
     def renew(d: Column) -> Column:
         body = feistel(F.substring(d, F.lit(1), F.length(d) - 1), key, "card", undo)
         return let(body, lambda b: F.concat(b, F.pmod(10 - F.pmod(luhn_sum(F.concat(b, F.lit("0"))), F.lit(10)), F.lit(10)).cast("string")))
@@ -138,19 +160,27 @@ def _card(v: Column, key: str, undo: bool) -> Column:
     return _fill(v, let(_digits(v), renew))
 
 
-def _ip(v: Column, key: str, undo: bool) -> Column:
+def _ip(v: Column, key: Column, undo: bool) -> Column:
     # Place by place: addresses of one network stay in one network.
-    parts = [cycle(F.get(F.split(v, r"\."), k), key, f"ip{k}", 3, 256, undo) for k in range(4)]
-    return F.array_join(F.array(*[p.cast("string") for p in parts]), ".", "0")
+    parts = [feistel_pair(F.get(F.split(v, r"\."), k).cast("long"), (16, 16), key, f"ip{k}", undo) for k in range(4)]
+    return F.concat_ws(".", *[p.cast("string") for p in parts])
 
 
-def _date(v: Column, key: str, undo: bool) -> Column:
-    day = F.datediff(F.try_to_date(v, "yyyy-MM-dd"), F.lit("1900-01-01").cast("date"))
-    new = F.date_add(F.lit("1900-01-01").cast("date"), cycle(day, key, "date", 5, DAYS, undo))
-    return F.coalesce(F.date_format(new, "yyyy-MM-dd"), F.lit("1900-01-01"))
+def _day(v: Column, shape: str) -> Column:
+    """Days from 1900-01-01, or null if v is no day of the calendar."""
+    return F.when(v.rlike(shape), F.datediff(F.try_to_date(v, DATES[shape]), F.lit("1900-01-01").cast("date")))
+
+
+def _date(v: Column, key: Column, undo: bool) -> Column:
+    first = F.lit("1900-01-01").cast("date")
+    new = let(feistel_pair(F.coalesce(*[_day(v, s) for s in DATES]), DAYS, key, "date", undo), lambda d: F.date_add(first, d.cast("int")))
+    out = v
+    for shape, form in DATES.items():
+        out = F.when(v.rlike(shape), F.date_format(new, form)).otherwise(out)
+    return out
 
 
-_MAKE = {"email": _email, "secret": _secret, "phone": _phone, "ssn": _ssn, "card": _card, "ip": _ip, "date": _date}
+_MAKE = {"email": _email, "secret": _secret, "phone": _phone, "national": _national, "ssn": _ssn, "card": _card, "ip": _ip, "date": _date}
 
 
 def kind_of(value: Column) -> Column:
@@ -158,16 +188,17 @@ def kind_of(value: Column) -> Column:
     octets = F.forall(F.split(value, r"\."), lambda x: x.cast("int") < 256)
     return (
         F.when(F.contains(value, F.lit("@")), F.lit("email"))
-        .when(value.rlike(r"^(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})$"), F.when(value.rlike("[0-9]"), F.lit("secret")))
+        .when(value.rlike(r"^(?:[0-9a-f]{32,64}|[0-9A-F]{32,64}|sk-.*|AKIA.*|ghp_.*)$"), F.when(value.rlike("[0-9]"), F.lit("secret")))
         .when(value.rlike(r"^\+"), F.lit("phone"))
+        .when(value.rlike(r"^\(?\d{3}(?:\) ?|[ .-])\d{3}[ .-]\d{4}$"), F.lit("national"))
         .when(value.rlike(r"^\d{3}-\d{2}-\d{4}$"), F.when(~value.rlike(r"^(?:000|666|9)|-00-|-0000$"), F.lit("ssn")))
         .when(value.rlike(r"^(?:\d{1,3}\.){3}\d{1,3}$"), F.when(octets, F.lit("ip")))
-        .when(value.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.when(F.try_to_date(value, "yyyy-MM-dd").isNotNull(), F.lit("date")))
+        .when(value.rlike(r"^(?:\d{4}-\d{2}-\d{2}|\d{2}([./])\d{2}\1\d{4})$"), F.when(F.coalesce(*[_day(value, s) for s in DATES]).isNotNull(), F.lit("date")))
         .when(F.pmod(luhn_sum(_digits(value)), F.lit(10)) == 0, F.lit("card"))
     )
 
 
-def pseudonym(value: Column, kind: Column, key: str, undo: bool = False) -> Column:
+def pseudonym(value: Column, kind: Column, key: Column, undo: bool = False) -> Column:
     """The pseudonym of a value of a kind; undo gives back numbers and dates (not e-mail addresses and secrets)."""
     out = value
     for name, make in _MAKE.items():
@@ -180,16 +211,19 @@ def pseudonymize(docs: DataFrame, key: str, undo: bool = False) -> DataFrame:
 
     text: with every valid value replaced; kinds: of the replaced values, in
     order. Row by row, no shuffle. A null text stays null with n_values 0;
-    repeated rows stay; other columns are ignored; an empty table gives no
-    rows. Whole texts are read; the cost is linear in the text.
+    repeated rows and null ids stay; other columns are ignored; an empty table
+    gives no rows. Whole texts are read; the cost is linear in the text. Of two
+    kinds that match at a place, the first of PATTERNS is taken. The key comes
+    as a table of one row, so that it is no literal of the plan.
     """
+    one = F.broadcast(docs.sparkSession.createDataFrame([(key,)], "_key string"))
     # A text without a digit or @ is not searched for values.
     found = F.when(F.col("text").rlike(HINT), F.regexp_extract_all("text", F.lit(f"({ANY})"), F.lit(1)))
-    spans = docs.select("doc_id", "text", found.alias("found"))
+    spans = docs.select("doc_id", "text", found.alias("found")).crossJoin(one)
 
     def renew(values: Column) -> Column:
         kinds = F.transform(values, lambda v: F.struct(v.alias("v"), kind_of(v).alias("kind")))
-        return F.transform(kinds, lambda x: F.struct(F.coalesce(x["kind"], F.lit("")).alias("kind"), pseudonym(x["v"], x["kind"], key, undo).alias("new")))
+        return F.transform(kinds, lambda x: F.struct(F.coalesce(x["kind"], F.lit("")).alias("kind"), pseudonym(x["v"], x["kind"], F.col("_key"), undo).alias("new")))
 
     some = F.size("found") > 0
     renewed = spans.withColumn("new", F.when(some, renew(F.col("found"))))
