@@ -1,6 +1,7 @@
 """Mixing sources to target weights by hash thresholds.
 
-Every document has a fixed 32-bit hash of its id. For a source that is to give
+Every document has a fixed 32-bit hash of its id, its text and, where rows
+repeat, the number of the copy. For a source that is to give
 a part of its words, sizes are summed by source and hash bucket; the bucket in
 which the budget ends is refined twice, down to single hash values. Documents
 below the threshold are taken once more: a filter, no sort, the same for every
@@ -12,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqloom.llm._spark import SPACES, materialize
+from seqloom.llm._spark import SPACES, copies, materialize
 
 #: Bits of the hash read by the histogram and its two refinements.
 LEVELS = (12, 10, 10)
@@ -24,9 +25,14 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.when(trimmed == "", F.lit(0)).otherwise(F.size(F.split(trimmed, SPACES))), F.lit(0)).cast("long")
 
 
-def mix_hash(doc_id: Column) -> Column:
-    """A number below 2 ** 32: the first 8 hexadecimal digits of the id's MD5 (null: of the empty text)."""
-    return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), 1, 8), 16, 10).cast("long")
+def text_key(text: Column) -> Column:
+    """The MD5 of a text (null: of the empty text)."""
+    return F.md5(F.coalesce(text, F.lit("")).cast("binary"))
+
+
+def mix_hash(doc_id: Column, text_md5: Column, copy: Column) -> Column:
+    """A number below 2 ** 32: the first 8 hexadecimal digits of an MD5 of the id (null: empty), the text's MD5 and the copy."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", F.coalesce(doc_id.cast("string"), F.lit("")), text_md5, copy.cast("string")).cast("binary")), 1, 8), 16, 10).cast("long")
 
 
 def targets(sources: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: float = 3.0) -> DataFrame:
@@ -77,12 +83,14 @@ def thresholds(slim: DataFrame, plan: DataFrame) -> DataFrame:
 
 
 def mix_plan(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: float = 3.0) -> tuple[DataFrame, DataFrame]:
-    """(slim, plan): slim has doc_id, source, size, h of every row; plan has source, source_size, target, full, threshold.
+    """(slim, plan): slim has doc_id, source, size, text_md5, copy, h of every row; plan has source, source_size, target, full, threshold.
 
-    A document is taken full times, and once more if its hash is below the
+    Rows of equal id, source and text are numbered as copies 0, 1, ..., each
+    with a hash of its own: null and repeated ids spread like others. A document is taken full times, and once more if its hash is below the
     threshold of its source: see times().
     """
-    slim = materialize(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), mix_hash(F.col("doc_id")).alias("h")), "mix-sizes")
+    counted = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), text_key(F.col("text")).alias("text_md5")).groupBy("doc_id", "source", "size", "text_md5").agg(F.count(F.lit(1)).alias("n"))
+    slim = materialize(copies(counted).withColumn("h", mix_hash(F.col("doc_id"), F.col("text_md5"), F.col("copy"))), "mix-sizes")
     sources = slim.groupBy("source").agg(F.sum("size").alias("source_size"))
     plan = targets(sources, weights, most)
     plan = plan.withColumn("full", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
@@ -108,8 +116,9 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: float = 3.0
     times: how often the mix holds the document; taken = times * size. A source
     whose target is t times its size gives every document floor(t) times, and
     those below its threshold once more. Null text: size 0; a null source is a
-    source; null ids share one hash; equal ids are taken alike; an empty table
-    gives no rows; other columns are ignored.
+    source; rows of null or equal ids, and repeated rows, are taken each by its
+    own hash; texts of any length are read whole, once; an empty table gives no
+    rows; other columns are ignored.
     """
     slim, plan = mix_plan(docs, weights, most)
     out = with_plan(slim, plan).withColumn("times", times(F.col("h")))

@@ -10,14 +10,18 @@ The law kept is `bytes`: the shards' sizes are near equal.
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from seqloom.llm._spark import let
+from seqloom.llm._spark import copies, let, materialize, shared_dir
 
 #: Virtual slots: fixed, so the map and the sums by slot have a fixed size.
 SLOTS = 4096
 MAP_COLUMNS = ("version", "virtual_slot", "shard", "bytes", "rows")
+MAP = "virtual_slot int, shard int, bytes long, rows long, version int"
 
 
 def record_size(text: Column) -> Column:
@@ -41,8 +45,7 @@ def slot_records(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
         "doc_id", record_size(F.col("text")).alias("size"), F.coalesce(F.crc32(F.col("text").cast("binary")), F.crc32(F.lit(b""))).alias("text_crc32"), F.xxhash64("text").alias("text_hash")
     )
     counted = slim.groupBy("doc_id", "size", "text_crc32", "text_hash").agg(F.count(F.lit(1)).alias("n"))
-    rows = counted.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
-    return rows.select("doc_id", "size", "text_crc32", "text_hash", "copy", virtual_slot(F.col("doc_id"), F.col("text_hash"), F.col("copy"), slots).alias("virtual_slot"))
+    return copies(counted).select("doc_id", "size", "text_crc32", "text_hash", "copy", virtual_slot(F.col("doc_id"), F.col("text_hash"), F.col("copy"), slots).alias("virtual_slot"))
 
 
 def slot_sizes(records: DataFrame) -> DataFrame:
@@ -106,13 +109,19 @@ def rebalance(current: DataFrame, sizes: DataFrame, shards: int) -> DataFrame:
 
 
 def save_map(slot_map: DataFrame, path: str) -> None:
-    """Add a version to the stored maps; versions are never overwritten."""
+    """Add a version to the stored maps; one that is there already is refused, so maps are never overwritten or doubled."""
+    try:
+        stored = slot_map.sparkSession.read.schema(MAP).parquet(path).select("version").distinct()
+    except AnalysisException:  # nothing is stored yet
+        stored = None
+    if stored is not None and slot_map.join(F.broadcast(stored), "version", "left_semi").limit(1).count():
+        raise ValueError(f"{path} holds this version of the map already")
     slot_map.coalesce(1).write.mode("append").partitionBy("version").parquet(path)
 
 
 def load_map(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
     """A stored version of the map, the latest by default."""
-    stored = spark.read.parquet(path)
+    stored = spark.read.schema(MAP).parquet(path)
     latest = stored.agg(F.max("version").alias("v"))
     return stored.filter(F.col("version") == version) if version is not None else stored.join(F.broadcast(latest), stored.version == latest.v, "left_semi")
 
@@ -126,22 +135,34 @@ def assign(records: DataFrame, slot_map: DataFrame) -> DataFrame:
     has a fixed number of rows and is broadcast.
     """
     before = F.sum("rows").over(Window.partitionBy("shard").orderBy("virtual_slot").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = slot_map.select("virtual_slot", "shard", F.coalesce(before, F.lit(0)).alias("before"))
+    offsets = slot_map.select("virtual_slot", "shard", "version", F.coalesce(before, F.lit(0)).alias("before"))
     rank = F.row_number().over(Window.partitionBy("virtual_slot").orderBy("doc_id", "text_hash", "copy"))
     return records.withColumn("rank", rank).join(F.broadcast(offsets), "virtual_slot").withColumn("slot", F.col("before") + F.col("rank") - 1)
 
 
-def shard_documents(docs: DataFrame, shards: int = 24, slots: int = SLOTS) -> DataFrame:
-    """Every row of docs(doc_id, text) with its shard.
+def shard_documents(docs: DataFrame, shards: int = 24, slots: int = SLOTS, maps: str | None = None) -> DataFrame:
+    """Every row of docs(doc_id, text) with its shard, by a map stored in the folder maps (one of its own by default).
 
-    Returns doc_id, size, text_crc32, law, shard, slot, grown_shard (null under
-    this law), virtual_slot, map_version. Null texts have size 8 and the CRC of
-    the empty text; null ids and repeated rows are dealt like others; an empty
-    table gives no rows; other columns of docs are ignored.
+    Without a stored map, the first version is made of the sizes by slot; with
+    one, the latest is edited for the new sizes. The version is stored, and
+    records are assigned from what is stored. Returns doc_id, size, text_crc32,
+    law, shard, slot, grown_shard (null under this law), virtual_slot,
+    map_version. Null texts have size 8 and the CRC of the empty text; null ids
+    and repeated rows are dealt like others; texts of any length are read once;
+    an empty table gives no rows; other columns of docs are ignored.
     """
-    records = slot_records(docs, slots)
-    placed = assign(records, new_map(slot_sizes(records), shards))
-    return placed.select(
+    spark = docs.sparkSession
+    records = materialize(slot_records(docs, slots), "shard-records")
+    sizes = slot_sizes(records)
+    version = 1
+    if maps is None:
+        maps = f"{shared_dir(spark)}/slot-maps-{uuid.uuid4().hex}"
+        save_map(new_map(sizes, shards, version), maps)
+    else:
+        current = load_map(spark, maps)
+        version = current.agg(F.max("version")).first()[0] + 1
+        save_map(rebalance(current, sizes, shards), maps)
+    return assign(records, load_map(spark, maps, version)).select(
         "doc_id",
         "size",
         F.col("text_crc32").cast("long").alias("text_crc32"),
@@ -150,5 +171,5 @@ def shard_documents(docs: DataFrame, shards: int = 24, slots: int = SLOTS) -> Da
         F.col("slot").cast("long").alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"),
         "virtual_slot",
-        F.lit(1).alias("map_version"),
+        F.col("version").cast("int").alias("map_version"),
     )

@@ -94,6 +94,21 @@ def test_map_versions(spark, tmp_path):
     for s, b in after.values():
         load[s] += b
     assert max(load.values()) / min(load.values()) < 1.1
+    with pytest.raises(ValueError):
+        sharding.save_map(second, str(tmp_path / "map"))
+    assert sharding.load_map(spark, str(tmp_path / "map"), 2).count() == len(after)
+
+
+def test_documents_go_by_the_stored_map(spark, tmp_path):
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("some text").alias("text"))
+    maps = str(tmp_path / "maps")
+    sharding.save_map(sharding.new_map(sharding.slot_sizes(sharding.slot_records(docs)), 8), maps)
+    got = sharding.shard_documents(docs.unionByName(docs.limit(1).selectExpr("doc_id", "text").withColumn("doc_id", F.lit(1).cast("long"))), 9, maps=maps)
+    stored = {r.virtual_slot: r.shard for r in sharding.load_map(spark, maps, 2).collect()}
+    rows = got.collect()
+    assert len(rows) == 3001 and all(r.map_version == 2 and stored[r.virtual_slot] == r.shard for r in rows) and {r.shard for r in rows} == set(range(9))
+    hot = sharding.shard_documents(spark.range(20_000).select(F.lit(1).cast("long").alias("doc_id"), F.lit("t").alias("text"))).groupBy("shard").count().collect()
+    assert len(hot) == 24 and sum(r["count"] for r in hot) == 20_000 and max(r["count"] for r in hot) < 1.05 * min(r["count"] for r in hot)
 
 
 def brute_mix(rows):
@@ -122,21 +137,32 @@ def test_mixing(docs, rows, none):
     total, target = brute_mix(rows)
     assert len(got) == len(rows)
     assert sum(target.values()) == pytest.approx(sum(total.values()))
-    by_id = {i: s for i, _, s in rows if i is not None}
-    taken = Counter()
+    by_id = {i: s for i, _, s in rows}
+    taken, largest = Counter(), Counter()
     for r in got:
-        if r.doc_id is not None:
-            assert r.source_size == total[by_id[r.doc_id]] and r.target == pytest.approx(target[by_id[r.doc_id]])
-            taken[by_id[r.doc_id]] += r.taken
+        s = by_id[r.doc_id]
+        assert r.source_size == total[s] and r.target == pytest.approx(target[s])
         assert 0 <= r.taken <= 3 * r.size and r.taken == r.times * r.size
-    largest = Counter()
-    for r in got:
-        if r.doc_id is not None:
-            largest[by_id[r.doc_id]] = max(largest[by_id[r.doc_id]], r.size)
-    assert all(abs(taken[s] - target[s]) <= largest[s] for s in total if s is not None)
+        taken[s] += r.taken
+        largest[s] = max(largest[s], r.size)
+    assert all(abs(taken[s] - target[s]) <= largest[s] for s in total)
     assert mixing.mix(none).count() == 0
 
 
+def test_mixing_rows_that_share_an_id(spark):
+    """2,000 rows whose ids are null or 7, some of them repeated: the words taken come near the target all the same."""
+    rows = [(None if i % 2 else 7, " ".join(f"w{i % 900}x{k}" for k in range(10)), "a") for i in range(2000)]
+    rows += [(1, "b c", "b")] * 6000 + [(None, None, None)] * 3
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(6)).collect()
+    _, target = brute_mix(rows)
+    assert len(got) == len(rows)
+    by_size = Counter()
+    for r in got:
+        by_size[r.size] += r.taken
+        assert r.target == pytest.approx(target[{10: "a", 2: "b", 0: None}[r.size]])
+    assert abs(by_size[10] - target["a"]) <= 10 and abs(by_size[2] - target["b"]) <= 2
+
+
 def brute_decon(rows, items):
     wins = defaultdict(set)
     for item, t in items:
