@@ -2,6 +2,12 @@
 
 Each stage works on all that the one before kept, and its decisions take
 effect. All but the last return the columns of documents.
+
+In every stage: null ids, texts and sources are values like others; an empty or
+null text has no words; texts of any length are read whole; repeated rows are
+rows of their own, but for near_duplicates, which keeps one of them; an empty
+table gives no rows; columns other than those of documents are dropped, so
+their names cannot clash.
 """
 
 from __future__ import annotations
@@ -10,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqloom.llm import decontaminate, mixing, ngram_join, quality, sharding
-from seqloom.llm._spark import if_small, materialize, table
+from seqloom.llm._spark import copies, if_small, materialize, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -20,7 +26,7 @@ BROADCAST_IDS = 1_000_000
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the latest policy rejects go. Row by row."""
+    """Documents that the latest policy rejects go, those without text among them. Row by row."""
     policy = quality.POLICIES[max(quality.POLICIES)]
     columns = [c for c in COLUMNS if c != "doc_id"]
     return quality.ledger(docs, *columns).filter(quality.passes(policy)).select(*COLUMNS)
@@ -52,18 +58,30 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with any window of a benchmark item go."""
+    """Documents with any window of a benchmark item go, and with them rows of equal id and text. An item without words has no window."""
     _, found = decontaminate.contained_windows(docs, table(spark, sf_dir, "benchmark"))
     hit = if_small(found.select(F.col("uid").alias("_uid")).distinct(), BROADCAST_IDS)
     return docs.select(*COLUMNS, decontaminate.row_key().alias("uid")).join(hit, F.col("uid") == F.col("_uid"), "left_anti").select(*COLUMNS)
 
 
 def source_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
-    _, plan = mixing.mix_plan(docs)
-    # A row's share follows from its id and its source: texts are not shuffled.
-    rows = mixing.with_plan(docs.select(*COLUMNS), plan).withColumn("_times", mixing.times(mixing.mix_hash(F.col("doc_id"))))
-    return rows.filter("_times > 0").select(*COLUMNS, F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times"))).alias("_copy")).select(*COLUMNS)
+    """Each document as often as the mix takes it, of repeated rows each by its own hash.
+
+    A row's share follows from its id, its text and its source's plan, so texts
+    are not shuffled, but for rows that are repeated: of those, equal rows are
+    counted and numbered.
+    """
+    slim, plan = mixing.mix_plan(docs)
+    key = F.md5(F.concat_ws("|", *(F.coalesce(F.md5(F.col(c).cast("string").cast("binary")), F.lit("")) for c in ("doc_id", "source")), F.col("_md5")))
+    rows = docs.select(*COLUMNS, mixing.text_key(F.col("text")).alias("_md5")).withColumn("_key", key)
+    repeated = materialize(slim.filter("copy = 1").withColumnRenamed("text_md5", "_md5").select(key.alias("_key")), "pipeline-repeated")
+    numbered = rows.withColumn("copy", F.lit(0).cast("long"))
+    if repeated.limit(1).count():
+        repeated = if_small(repeated, BROADCAST_IDS)
+        counted = rows.join(repeated, "_key", "left_semi").groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("n"))
+        numbered = numbered.join(repeated, "_key", "left_anti").unionByName(copies(counted))
+    taken = mixing.with_plan(numbered, plan).withColumn("_times", mixing.times(mixing.mix_hash(F.col("doc_id"), F.col("_md5"), F.col("copy"))))
+    return taken.filter("_times > 0").select(*COLUMNS, F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times"))).alias("_copy")).select(*COLUMNS)
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
