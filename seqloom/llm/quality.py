@@ -130,7 +130,13 @@ def ablations(rows: DataFrame, policy: Policy) -> DataFrame:
 
 
 def judge(docs: DataFrame, policy: Policy = POLICIES[2]) -> DataFrame:
-    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, failed_bits, policy_version."""
+    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, failed_bits, policy_version of every row of docs(doc_id, text).
+
+    Row by row, no shuffle. A null or empty text has no words and fails
+    few_words; texts of any length are measured whole; repeated rows and null
+    ids stay, each judged alone, so there are no ties; other columns are
+    dropped, so their names cannot clash; an empty table gives no rows.
+    """
     rows = ledger(docs)
     base = F.col("failed_bits").bitwiseAND(F.lit(BASE_MASK)) != 0
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), (~base & passes(policy)).alias("kept"), "failed_bits", F.lit(policy.version).alias("policy_version"))

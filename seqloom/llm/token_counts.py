@@ -2,13 +2,17 @@
 
 A document is encoded once as a whole. Byte-level tokens have known lengths,
 so their spans follow from a running sum; sections are spans of characters,
-mapped to bytes. Token spans and section spans, both sorted, are joined by
+mapped to bytes. A text of more than SPLIT characters is encoded in parts, cut only
+where the vocabulary's own pieces end whatever follows, so its tokens are those
+of the whole; a long run of white space, on which the pattern would backtrack
+character by character, is given to the merges as the piece that it is. Token spans and section spans, both sorted, are joined by
 binary search, and a token that crosses a boundary is allocated by a rule.
 """
 
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 from functools import cache
 
@@ -19,6 +23,11 @@ from pyspark.sql import functions as F
 
 #: Fixed value: how this vocabulary's texts are split before merging.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Characters of a text that is encoded at once.
+SPLIT = 1 << 16
+#: The white space of PATTERN, as its engine knows it.
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+SPACES = re.compile(f"[{WHITE}]+")
 #: first: all of a token to the section of its first character; share: by the part of its bytes in each section.
 RULES = ("first", "share")
 
@@ -34,6 +43,41 @@ def _encoding(ranks: bytes):
     return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=table, special_tokens={}), lengths
 
 
+def encode(encoding, text: str) -> list[int]:
+    """The tokens of encode_ordinary(text), for texts and runs of any length.
+
+    No piece but white space reaches beyond a character that is followed by
+    white space, and none looks back. So a text may be cut before a run of
+    white space. Of such a run before another character, all but the last
+    character are a piece; the last goes to what follows if it is a space, else
+    it is a piece; at the end of the text the whole run is one.
+    """
+    if len(text) <= SPLIT:
+        return encoding.encode_ordinary(text)
+    out: list[int] = []
+    at = done = 0  # text[done:] is not encoded yet; text[at:] not searched
+    while m := SPACES.search(text, at):
+        start, end = m.span()
+        if end - start > SPLIT:
+            out += _part(encoding, text, done, start)
+            if end == len(text):
+                return out + encoding._encode_single_piece(text[start:end])
+            out += encoding._encode_single_piece(text[start : end - 1])
+            done = end - 1
+            if text[done] != " ":
+                out += encoding._encode_single_piece(text[done:end])
+                done = end
+        elif start - done >= SPLIT:
+            out += _part(encoding, text, done, start)
+            done = start
+        at = end
+    return out + _part(encoding, text, done, len(text))
+
+
+def _part(encoding, text: str, start: int, end: int) -> list[int]:
+    return encoding.encode_ordinary(text[start:end]) if end > start else []
+
+
 def _line_bounds(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends, in bytes, of the lines of a text, each with its line end."""
     ends = np.flatnonzero(np.frombuffer(data, dtype=np.uint8) == 10) + 1
@@ -82,8 +126,8 @@ def count_tokens(docs: DataFrame, vocabulary: str, rule: str = "first", sections
     sections: a column of arrays of structs (start, end) in characters, not
     overlapping; without it, the lines of the text, each with its line end.
     section_tokens sums, with outside_tokens, to n_tokens. Null and empty texts
-    have no tokens; repeated rows stay; other columns are ignored; an empty
-    table gives no rows. vocabulary: a file of ranks that the driver reads; its
+    have no tokens; null ids and repeated rows stay; texts of any length are
+    encoded whole; other columns are ignored; an empty table gives no rows. vocabulary: a file of ranks that the driver reads; its
     size is fixed, and it is sent to the tasks.
     """
     if rule not in RULES:
@@ -98,7 +142,7 @@ def count_tokens(docs: DataFrame, vocabulary: str, rule: str = "first", sections
             rows: list[tuple] = []
             for doc_id, text, given in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), spans, strict=True):
                 data = (text or "").encode()
-                tokens = np.array(encoding.encode_ordinary(text or ""), dtype=np.int64)
+                tokens = np.array(encode(encoding, text or ""), dtype=np.int64)
                 ends = np.cumsum(lengths[tokens])
                 if sections:
                     given = [x for x in given or [] if x and x["start"] is not None and x["end"] is not None]

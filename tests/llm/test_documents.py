@@ -290,9 +290,12 @@ def test_token_counts(docs, rows, none):
     tokenizers = pytest.importorskip("tokenizers")
     exact = tokenizers.Tokenizer.from_file("/opt/tokenizers/byte_bpe_50k.json")
     exact.encode_special_tokens = True
-    got = {r.doc_id: r for r in token_counts.count_tokens(docs, "/opt/tokenizers/byte_bpe_50k.tiktoken").collect() if r.doc_id is not None}
+    out = token_counts.count_tokens(docs, "/opt/tokenizers/byte_bpe_50k.tiktoken").collect()
+    got = {r.doc_id: r for r in out}
+    nulls = [exact.encode(t or "", add_special_tokens=False) for i, t, _ in rows if i is None]
+    assert sorted(r.n_tokens for r in out if r.doc_id is None) == sorted(map(len, nulls)) and len(out) == len(rows)
     for i, t, _ in rows:
-        if i is None or len(t or "") > 1_000_000:
+        if i is None:
             continue
         r, t = got[i], t or ""
         spans = exact.encode(t, add_special_tokens=False).offsets
@@ -307,6 +310,26 @@ def test_token_counts(docs, rows, none):
     assert token_counts.count_tokens(none, "/opt/tokenizers/byte_bpe_50k.tiktoken").count() == 0
 
 
+def test_long_runs(spark, monkeypatch):
+    """Runs of 5 MB of one kind pass; texts cut into parts have the tokens of the whole."""
+    import random
+
+    vocabulary = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+    n = 5_000_000
+    rows = [(1, " " * n), (2, "\n" * n), (3, "a" * n), (4, "#" * n), (5, "x" + " " * n + "y"), (None, "\t" * n + "é")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = {r.doc_id: r for r in token_counts.count_tokens(df, vocabulary).select("doc_id", "n_tokens", "n_sections", "outside_tokens").collect()}
+    assert got[2].n_sections == n and got[1].n_sections == 1 and all(r.outside_tokens == 0 and r.n_tokens > 0 for r in got.values())
+    encoding, _ = token_counts._encoding(open(vocabulary, "rb").read())
+    rng = random.Random(4)
+    bits = [" ", "  ", "\n", "\u3000", "\x85", "\x1c", "a", "the", "'s", "'", "12", "é", "#!", "\t ", " \n", "\xa0", "\U0001f600"]
+    for split in (1, 2, 3, 8):
+        monkeypatch.setattr(token_counts, "SPLIT", split)
+        for _ in range(1500):
+            text = "".join(rng.choice(bits) for _ in range(rng.randrange(40)))
+            assert token_counts.encode(encoding, text) == encoding.encode_ordinary(text), text
+
+
 def test_tokens_of_given_sections(spark):
     text = "Größe äöü and the rest\nof it"
     df = spark.createDataFrame([(1, text, [(0, 5), (6, 9), (9, 30)]), (2, text, None), (3, None, [(0, 1)])], "doc_id long, text string, parts array<struct<start:int,end:int>>")
