@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from seqloom.functions.errors import PipelineError
+from seqloom.functions.errors import PipelineError, check
 from seqloom.functions.uris import resolve_uri
 
 #: What the processor says of itself.
@@ -31,18 +32,41 @@ def iteration_size() -> Column:
     return F.col("iter_size")
 
 
+#: The names of the steps that the library has.
+STEPS = frozenset(
+    "add-attribute add-xml-base compare count delete directory-list error escape-markup filter hash identity in-scope-names insert label-elements load make-absolute-uris namespace-rename pack parameters rename replace set-attributes sink split-sequence store string-replace template unescape-markup unwrap uuid validate-with-schematron validate-with-xml-schema wrap wrap-sequence www-form-urldecode www-form-urlencode xinclude "
+    "for-each viewport choose group try collection-manager compress eval gunzip gzip java-properties message namespace-delete pretty-print report-errors set-base-uri uncompress unzip until-unchanged uri-info wait-for-update zip copy head info mkdir move tail tempfile touch cwd env".split()
+)
+_REGISTERED: dict[str, Callable] = {}
+
+
+def register_step(name: str, step: Callable) -> Callable:
+    """Make a function of DataFrames known as a step, by a name with a prefix; a name of the library is XS0036."""
+    check(":" in name and name.rpartition(":")[2] not in STEPS and name not in _REGISTERED, "XS0036", name)
+    _REGISTERED[name] = step
+    return step
+
+
+def step(name: str) -> Callable:
+    """A registered step; an unknown name is XS0044."""
+    check(name in _REGISTERED, "XS0044", name)
+    return _REGISTERED[name]
+
+
 def step_available(name: str) -> bool:
-    """Whether the library has a step of this name (with - or _)."""
-    from seqloom.operators import content, rewrite, sequence
-    from seqloom.sources import files
+    """Whether the library has a step of this name, or one was registered by it."""
+    return name in _REGISTERED or name.rpartition(":")[2] in STEPS
+
 
-    own = name.rpartition(":")[2].replace("-", "_")
-    return any(callable(getattr(m, n, None)) for m in (content, rewrite, sequence, files) for n in (own, f"{own}_step"))
+def add_properties(values: dict[str, str], prefix: str) -> None:
+    """Make a set of properties known under a prefix of their own."""
+    check(bool(prefix) and ":" not in prefix, "XD0034", prefix)
+    PROPERTIES.update({f"{prefix}:{k}": v for k, v in values.items()})
 
 
 def system_property(name: str) -> str:
-    """A property of the processor; the empty string if it is unknown."""
-    return PROPERTIES.get(name.rpartition(":")[2], "")
+    """A property of the processor, or of an added set; the empty string if it is unknown."""
+    return PROPERTIES.get(name, PROPERTIES.get(name.rpartition(":")[2], "") if name.startswith(("p:", "cx:")) or ":" not in name else "")
 
 
 def value_available(name: str, scope: dict, fail_if_unknown: bool = True) -> bool:

@@ -6,6 +6,7 @@ import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from html.parser import HTMLParser
+from xml.parsers import expat
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -15,7 +16,7 @@ from seqloom.functions.errors import PipelineError, check, fail
 from seqloom.functions.uris import resolve_uri
 from seqloom.operators.match import attr
 from seqloom.plans.scratch import materialize
-from seqloom.sources.xml import TOKENS, _batch, escape_text
+from seqloom.sources.xml import TOKENS, _batch, escape_attribute, escape_text
 
 #: HTML elements without content, and those that an opening tag ends.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -175,37 +176,149 @@ def json_of(tokens: DataFrame) -> DataFrame:
     return roots.join(fields, ["iter", "pos"], "left").select("iter", "pos", F.concat(F.lit("{"), F.coalesce(joined, F.lit("")), F.lit("}")).alias("json"))
 
 
-def xinclude(docs: DataFrame, resources: DataFrame, most: int = 20) -> DataFrame:
-    """Replace <xi:include href=.../> in documents by resources(uri, doc), and theirs, level by level.
+XI_NS = "http://www.w3.org/2001/XInclude"
+#: A document cut at its includes. text: markup before a reference (or what stands in its place); head: markup up to the end of the root's name.
+ITEMS = "array<struct<kind:string,text:string,href:string,parse:string,xpointer:string,fallback:string,lang:string,base:string,chain:array<string>>>"
 
-    Each level is one join of references with resources on the resolved URI,
-    so resources of any number are not broadcast. parse="text" includes the
-    resource as text, or the part that xpointer="text(...)" names. An include
-    without a resource takes its fallback, or is XC0029; so is a chain of more
-    than `most` levels, which a loop makes.
+
+def _cut(doc: str) -> tuple[list[dict], bool, bool]:
+    """(a document's items, whether its root has xml:base, xml:lang): its markup between the outermost include elements, and these.
+
+    The prefix xi is known without a declaration, for fragments.
+    """
+    data = doc.encode()
+    parser = expat.ParserCreate()
+    scopes: list[dict[str, str]] = [{"xi": XI_NS}]
+    items: list[dict] = []
+    state = {"at": 0, "depth": 0, "include": 0, "fallback": None, "ref": None, "head": False, "base": False, "lang": False}
+    langs: list[str | None] = [None]
+
+    def put(kind: str, to: int, **more) -> None:
+        items.append({"kind": kind, "text": data[state["at"] : to].decode(), **more})
+
+    def tag_end(at: int) -> int:
+        return re.compile(rb"<(?:[^>\"']|\"[^\"]*\"|'[^']*')*>").match(data, at).end()
+
+    def full(name: str) -> str:
+        prefix, _, local = name.rpartition(":")
+        return f"{scopes[-1].get(prefix, '')} {local}"
+
+    def start(name: str, attributes: dict) -> None:
+        here, state["depth"] = parser.CurrentByteIndex, state["depth"] + 1
+        langs.append(attributes.get("xml:lang", langs[-1]))
+        declared = {k[6:]: v for k, v in attributes.items() if k == "xmlns" or k.startswith("xmlns:")}
+        scopes.append(scopes[-1] | declared if declared else scopes[-1])
+        name = full(name)
+        if state["depth"] == 1:
+            state["base"], state["lang"] = "xml:base" in attributes, "xml:lang" in attributes
+        if state["include"]:
+            if state["depth"] == state["include"] + 1 and name == f"{XI_NS} fallback" and state["fallback"] is None:
+                state["fallback"] = tag_end(here)
+            elif name == f"{XI_NS} include":
+                raise PipelineError("XC0029", "an include within an include's fallback")
+            return
+        if name == f"{XI_NS} include":
+            put("text", here)
+            state["tag"] = tag_end(here)
+            state["include"], state["fallback"], state["ref"] = state["depth"], None, {k: attributes.get(k) for k in ("href", "parse", "xpointer")} | {"fallback": None, "lang": langs[-2]}
+        elif state["depth"] == 1:
+            end = here + len(re.match(rb"<[^\s/>]+", data[here : here + 65536])[0])
+            put("head", end)
+            state["at"] = end
+
+    def end(name: str) -> None:
+        here, name = parser.CurrentByteIndex, full(name)
+        if state["include"] == state["depth"]:
+            state["at"] = state["tag"] if data[state["tag"] - 2 : state["tag"]] == b"/>" else data.index(b">", here) + 1
+            items.append({"kind": "ref", "text": None, **state["ref"]})
+            state["include"] = 0
+        elif state["include"] and state["depth"] == state["include"] + 1 and name == f"{XI_NS} fallback":
+            at = state["fallback"]
+            state["ref"]["fallback"] = "" if data[at - 2 : at] == b"/>" else data[at:here].decode()
+        state["depth"] -= 1
+        langs.pop()
+        scopes.pop()
+
+    parser.StartElementHandler, parser.EndElementHandler = start, end
+    parser.XmlDeclHandler = lambda *_: state.__setitem__("at", data.index(b"?>") + 2)
+    parser.EndDoctypeDeclHandler = lambda: state.__setitem__("at", data.index(b">", parser.CurrentByteIndex) + 1 if data[parser.CurrentByteIndex : parser.CurrentByteIndex + 1] != b">" else parser.CurrentByteIndex + 1)
+    try:
+        parser.Parse(data, True)
+    except expat.ExpatError as x:
+        raise PipelineError("XD0011", f"not a well-formed document: {x}") from None
+    put("text", len(data))
+    return items, state["base"], state["lang"]
+
+
+def _cut_all(docs: DataFrame, keys: list[str], raw: bool = False) -> DataFrame:
+    """keys, items, has_base, has_lang of docs(keys, doc); raw: a text that is no document has no items (it may be wanted as text)."""
+    names = ("kind", "text", "href", "parse", "xpointer", "fallback", "lang")
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for doc in batch.column("doc").to_pylist():
+                try:
+                    rows.append(_cut(doc or ""))
+                except PipelineError:
+                    if not raw:
+                        raise
+                    rows.append((None, False, False))
+            kind = pa.list_(pa.struct([(n, pa.string()) for n in (*names, "base")] + [("chain", pa.list_(pa.string()))]))
+            items = [None if r[0] is None else [{n: i.get(n) for n in names} | {"base": None, "chain": None} for i in r[0]] for r in rows]
+            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in keys], pa.array(items, kind), pa.array([r[1] for r in rows]), pa.array([r[2] for r in rows])], names=[*keys, "items", "has_base", "has_lang"])
+
+    types = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
+    return docs.select(*keys, "doc").mapInArrow(kernel, ", ".join(f"{k} {types[k]}" for k in keys) + f", items {ITEMS}, has_base boolean, has_lang boolean")
+
+
+def xinclude(docs: DataFrame, resources: DataFrame, fixup_xml_base: bool = False, fixup_xml_lang: bool = False) -> DataFrame:
+    """Replace include elements in documents by resources(uri, doc), and theirs, level by level.
+
+    Documents and resources are cut at their includes once, by the namespace,
+    so prefixes, quotes and comments do not matter. Each level is one join of
+    references with resources on the URI resolved against the document that the
+    reference stands in, so resources of any number are not broadcast.
+    parse="text" includes the resource as text, or the part that
+    xpointer="text(...)" names. An include without a resource takes its
+    fallback (which holds no includes), or is XC0029; so is a loop, found by
+    the chain of URIs. fixup_xml_base, fixup_xml_lang: the included root gets
+    the attribute, unless it has one.
     """
-    pattern = r'<xi:include\b[^>]*?\bhref="([^"]*)"[^>]*?(?:/>|>(?s:(.*?))</xi:include>)'
-    now = docs
-    for _ in range(most):
-        found = F.regexp_extract_all("doc", F.lit(f"({pattern})"), F.lit(1))
-        if not now.filter(F.col("doc").rlike(pattern)).limit(1).count():
-            return now
-        pieces = F.split("doc", pattern)
-        t = now.withColumn("_p", pieces).withColumn("_f", found)
-        refs = t.select("iter", "pos", "base_uri", F.posexplode("_f").alias("_k", "_ref"))
-        refs = refs.withColumn("_uri", resolve_uri(F.regexp_extract("_ref", r'\bhref="([^"]*)"', 1), F.col("base_uri")))
-        got = refs.join(resources.select(F.col("uri").alias("_uri"), F.col("doc").alias("_new")), "_uri", "left")
-        fallback = F.regexp_extract("_ref", r"(?s)<xi:fallback[^>]*>(.*?)</xi:fallback>", 1)
-        pointer = F.regexp_extract("_ref", r'^[^>]*?\bxpointer="text\(([^")]*)\)"', 1)
-        as_text = escape_text(F.when(pointer != "", text_range(F.col("_new"), pointer)).otherwise(F.col("_new")))
-        got = got.withColumn("_new", F.when(F.col("_new").isNotNull() & F.col("_ref").rlike(r'^[^>]*?\bparse="text"'), as_text).otherwise(F.col("_new")))
-        new = F.coalesce("_new", F.when(F.contains(F.col("_ref"), F.lit("<xi:fallback")), fallback).otherwise(fail("XC0029", "no such resource")))
-        lists = got.groupBy("iter", "pos").agg(F.array_sort(F.collect_list(F.struct("_k", new.alias("v")))).alias("_got"))
+    keys = ["iter", "pos", "base_uri"]
+    chained = lambda base, chain: F.transform("items", lambda x: x.withField("base", base).withField("chain", chain))
+    now = _cut_all(docs, keys)
+    now = materialize(now.select(*keys, chained(F.col("base_uri"), F.array(F.coalesce("base_uri", F.lit("")))).cast(ITEMS).alias("items")), "xinclude")
+    known = materialize(_cut_all(resources.select("uri", "doc"), ["uri"], raw=True).join(resources.select("uri", F.col("doc").alias("raw")), "uri").withColumnRenamed("items", "_items"), "xinclude-resources")
+    while True:
+        waiting = F.exists("items", lambda x: x["kind"] == "ref")
+        if not now.filter(waiting).limit(1).count():
+            return now.select(*keys, F.array_join(F.transform("items", lambda x: F.coalesce(x["text"], F.lit(""))), "").alias("doc"))
+        each = now.filter(waiting).select("iter", "pos", F.posexplode("items").alias("_k", "_x")).filter("_x.kind = 'ref'")
+        each = each.withColumn("uri", resolve_uri(F.col("_x.href"), F.col("_x.base")))
+        got = each.join(known, "uri", "left")
+        pointer = F.regexp_extract(F.coalesce("_x.xpointer", F.lit("")), r"^text\((.*)\)$", 1)
+        as_text = escape_text(F.when(pointer != "", text_range(F.col("raw"), pointer)).otherwise(F.col("raw")))
+        one = lambda text: F.array(F.struct(F.lit("text").alias("kind"), text.alias("text"), *[F.lit(None).cast("string").alias(n) for n in ("href", "parse", "xpointer", "fallback", "lang", "base")], F.lit(None).cast("array<string>").alias("chain")))
+        chain = F.concat(F.col("_x.chain"), F.array("uri"))
+        loop = F.array_contains("_x.chain", F.col("uri"))
+        more = F.concat(
+            F.when(F.lit(fixup_xml_base) & ~F.col("has_base"), F.concat(F.lit(' xml:base="'), escape_attribute(F.col("uri")), F.lit('"'))).otherwise(F.lit("")),
+            F.when(F.lit(fixup_xml_lang) & ~F.col("has_lang") & F.col("_x.lang").isNotNull(), F.concat(F.lit(' xml:lang="'), escape_attribute(F.col("_x.lang")), F.lit('"'))).otherwise(F.lit("")),
+        )
+        inner = F.transform("_items", lambda x: x.withField("base", F.col("uri")).withField("chain", chain).withField("text", F.when(x["kind"] == "head", F.concat(x["text"], more)).otherwise(x["text"])))
+        new = (
+            F.when(F.col("raw").isNull(), F.when(F.col("_x.fallback").isNotNull(), one(F.col("_x.fallback"))).otherwise(one(fail("XC0029", "no such resource"))).cast(ITEMS))
+            .when(F.col("_x.parse") == "text", one(as_text).cast(ITEMS))
+            .when(loop, one(fail("XC0029", "a document includes itself")).cast(ITEMS))
+            .when(F.col("_items").isNull(), one(fail("XD0011", "the resource is not a well-formed document")).cast(ITEMS))
+            .otherwise(inner.cast(ITEMS))
+        )
+        lists = got.groupBy("iter", "pos").agg(F.map_from_entries(F.collect_list(F.struct("_k", new.alias("v")))).alias("_got"))
         # Merged, not broadcast: documents stay spread over the tasks for the steps that read them.
-        joined = t.join(lists.hint("merge"), ["iter", "pos"], "left")
-        out = F.when(F.col("_got").isNull(), F.col("doc")).otherwise(F.array_join(F.zip_with("_p", "_got", lambda p, x: F.concat(p, F.coalesce(x["v"], F.lit("")))), ""))
-        now = materialize(joined.withColumn("doc", out).select("iter", "pos", "base_uri", "doc"), "xinclude")
-    raise PipelineError("XC0029", f"includes of more than {most} levels: a loop")
+        joined = now.join(lists.hint("merge"), ["iter", "pos"], "left")
+        spliced = F.flatten(F.transform("items", lambda x, k: F.coalesce(F.try_element_at("_got", k), F.array(x))))
+        now = materialize(joined.select(*keys, F.when(F.col("_got").isNull(), F.col("items")).otherwise(spliced).alias("items")), "xinclude")
 
 
 @dataclass(frozen=True)

@@ -225,30 +225,21 @@ def wrap_adjacent(tokens: DataFrame, match: Column, name: Name, key: Column) ->
 F_TYPE = f"array<struct<ord:double,kind:string,id:bigint,parent:bigint,ancestors:array<bigint>,path:string,sibling:int,ns:string,prefix:string,local:string,value:string,attrs:{ATTRS},nsdecl:map<string,string>>>"
 
 
-def _one_document(tokens: DataFrame) -> Column:
-    """The tokens of a table of one document, as a constant array (a step's argument: one document, read by the driver)."""
-    rows = tokens.orderBy("ord").select(fields().alias("t")).limit(100_001).collect()
-    if len(rows) > 100_000:
-        raise PipelineError("XD0006", "a step's argument is one document of at most 100,000 tokens")
-
-    def literal(t) -> Column:
-        attrs = F.array(*[F.struct(*[F.lit(a[k]).alias(k) for k in ("ns", "prefix", "local", "value")]) for a in t["attrs"]]).cast(ATTRS) if t["attrs"] else F.array().cast(ATTRS)
-        decl = F.create_map(*[F.lit(x) for kv in t["nsdecl"].items() for x in kv]).cast("map<string,string>")
-        return fields(**{k: t[k] for k in ("ord", "kind", "id", "parent", "path", "sibling", "ns", "prefix", "local", "value")}, attrs=attrs, nsdecl=decl, ancestors=F.array().cast("array<bigint>"))
-
-    return F.array(*[literal(r["t"]) for r in rows]).cast(F_TYPE) if rows else F.array().cast(F_TYPE)
+def _with_document(tokens: DataFrame, argument: DataFrame) -> DataFrame:
+    """tokens with column _arg: the tokens of a step's argument, a table of one document, which is a row like any document."""
+    one = argument.agg(F.array_sort(F.collect_list(fields()), lambda a, b: F.signum(a["ord"] - b["ord"]).cast("int")).cast(F_TYPE).alias("_arg"))
+    return tokens.crossJoin(one)
 
 
 def insert(tokens: DataFrame, match: Column, insertion: DataFrame, position: str) -> DataFrame:
     """Put the insertion's tokens at first-child, last-child, before or after each matched node.
 
-    insertion: the token table of one document. It is small by contract and is
-    written into the plan, so nothing is shuffled. Children of a non-element: XC0025.
+    insertion: the token table of one document, of any size. Children of a
+    non-element: XC0025.
     """
     check(position in ("first-child", "last-child", "before", "after"), "XC0025", position)
-    ins = _one_document(insertion)
-    m = F.coalesce(match, F.lit(False))
-    t = tokens
+    m, ins = F.coalesce(match, F.lit(False)), F.col("_arg")
+    t = _with_document(tokens, insertion)
     if position in ("first-child", "last-child"):
         t = _only(t, m, ("open", "close"), "XC0025", "insert")
     else:
@@ -263,8 +254,8 @@ def insert(tokens: DataFrame, match: Column, insertion: DataFrame, position: str
 
 def replace(tokens: DataFrame, match: Column, replacement: DataFrame) -> DataFrame:
     """Put the replacement's tokens (one document) in place of each outermost matched node."""
-    new = _one_document(replacement)
-    marked = _marked(tokens, match).filter(~F.col("_in") & ~(F.col("_m") & (F.col("kind") == "close")))
+    new = F.col("_arg")
+    marked = _marked(_with_document(tokens, replacement), match).filter(~F.col("_in") & ~(F.col("_m") & (F.col("kind") == "close")))
     placed = F.transform(new, lambda x, i: x.withField("ord", F.col("ord") + (i + 1) / (F.size(new) + 2)))
     return _spread(marked, F.when(F.col("_m"), placed).otherwise(F.array(fields())))
 
@@ -296,14 +287,14 @@ def viewport(tokens: DataFrame, match: Column, body: Callable[[DataFrame], DataF
     marked = marked.withColumn("_s", start)
     inside = marked.filter("_m or _in").drop("_m", "_in")
     rest = marked.filter("not _m and not _in").drop("_m", "_in", "_s")
-    # A match's place in the document is its key while the body runs.
-    lifted = inside.withColumn("_doc", F.struct("iter", "pos")).withColumn("iter", F.xxhash64("_doc", "_s")).drop("_doc")
+    # While the body runs, pos and a hash of iter and the place within the document are a match's key.
+    lifted = inside.withColumn("iter", F.xxhash64("iter", "_s"))
     places = inside.filter((F.col("kind") == "open") & (F.col("ord") == F.col("_s"))).select("iter", "pos", "base_uri", "_s")
-    keys = places.withColumn("_key", F.xxhash64(F.struct("iter", "pos"), "_s")).select(F.col("_key"), F.col("iter").alias("_iter"), F.col("pos").alias("_pos"), F.col("_s").alias("_place"))
+    keys = places.select(F.xxhash64("iter", "_s").alias("iter"), "pos", F.col("iter").alias("_iter"), F.col("_s").alias("_place"))
     done = body(lifted.drop("_s"))
     n = F.row_number().over(Window.partitionBy("iter", "pos").orderBy("ord")) / (F.count(F.lit(1)).over(Window.partitionBy("iter", "pos")) + 1)
-    back = done.withColumn("_n", n).join(keys, done["iter"] == keys["_key"]).drop("iter", "pos", "_key")
-    back = back.withColumn("ord", F.col("_place") + F.col("_n")).withColumnRenamed("_iter", "iter").withColumnRenamed("_pos", "pos").drop("_n", "_place")
+    back = done.withColumn("_n", n).join(keys, ["iter", "pos"]).drop("iter")
+    back = back.withColumn("ord", F.col("_place") + F.col("_n")).withColumnRenamed("_iter", "iter").drop("_n", "_place")
     return renumber(rest.unionByName(back.select(*rest.columns)))
 
 
@@ -374,10 +365,42 @@ def make_absolute_attributes(tokens: DataFrame, match: Column, local: str, base:
     return string_replace_attributes(tokens, match, lambda a: (a["local"] == local) & (a["ns"] == ""), lambda a: resolve_uri(a["value"], against))
 
 
+def _relative(uri: Column, base: Column) -> Column:
+    """uri as a reference from base, by ../ and the segments after those that both begin with; of another authority, uri."""
+    u, b = F.split(uri, "/"), F.split(base, "/")
+    same = F.aggregate(F.sequence(F.lit(0), F.least(F.size(u), F.size(b)) - 1), F.struct(F.lit(0).alias("n"), F.lit(True).alias("on")), lambda a, i: F.struct((a["n"] + F.when(a["on"] & (F.get(u, i) == F.get(b, i)) & (i < F.least(F.size(u), F.size(b)) - 1), 1).otherwise(0)).alias("n"), (a["on"] & (F.get(u, i) == F.get(b, i))).alias("on")), lambda a: a["n"])
+    return F.when(same > F.when(F.contains(uri, F.lit("://")), 2).otherwise(0), F.concat(F.repeat(F.lit("../"), F.size(b) - 1 - same), F.array_join(F.slice(u, same + 1, F.size(u) - same), "/"))).otherwise(uri)
+
+
+def base_uris(tokens: DataFrame) -> DataFrame:
+    """tokens with _base and _above: the base URI of the element itself and of its parent (null at the root), by xml:base.
+
+    The elements with xml:base of a document are gathered beside each token,
+    and those among its ancestors are resolved one against the other.
+    """
+    own = F.element_at(F.filter("attrs", lambda a: (a["ns"] == XML_NS) & (a["local"] == "base")), 1)["value"]
+    given = F.struct("ord", "id", own.alias("value"))
+    changes = F.collect_list(F.when((F.col("kind") == "open") & (F.size(F.filter("attrs", lambda a: (a["ns"] == XML_NS) & (a["local"] == "base"))) > 0), given)).over(Window.partitionBy(*KEYS))
+    upto = lambda ids: F.aggregate(F.filter(F.array_sort("_changes"), lambda c: F.array_contains(ids, c["id"])), F.coalesce("base_uri", F.lit("")), lambda b, c: resolve_uri(c["value"], b))
+    t = tokens.withColumn("_changes", changes)
+    return t.withColumn("_base", upto(F.concat("ancestors", F.array("id")))).withColumn("_above", F.when(F.size("ancestors") > 0, upto(F.col("ancestors")))).drop("_changes")
+
+
 def add_xml_base(tokens: DataFrame, all: bool = False, relative: bool = True) -> DataFrame:
-    """xml:base on the document element, or with all on every element; all and relative exclude each other (XC0058)."""
+    """xml:base on the document element and wherever the base changes, or with all on every element.
+
+    relative: a change is written relative to the parent's base, else as an
+    absolute URI; all and relative exclude each other (XC0058).
+    """
     check(not (all and relative), "XC0058", "all and relative")
-    return add_attribute(tokens, is_element() if all else is_element() & (F.size("ancestors") == 0), (XML_NS, "xml", "base"), F.col("base_uri"))
+    t = base_uris(tokens)
+    changed = F.col("_above").isNull() | (F.col("_above") != F.col("_base"))
+    value = F.when(F.col("_above").isNull() | ~F.lit(relative), F.col("_base")).otherwise(_relative(F.col("_base"), F.col("_above")))
+    kept = F.filter("attrs", lambda a: (a["ns"] != XML_NS) | (a["local"] != "base"))
+    mine = F.struct(F.lit(XML_NS).alias("ns"), F.lit("xml").alias("prefix"), F.lit("base").alias("local"), value.alias("value"))
+    # An xml:base that changes nothing goes.
+    attrs = F.when(is_element(), F.when(F.lit(all) | changed, F.concat(kept, F.array(mine))).otherwise(kept)).otherwise(F.col("attrs"))
+    return t.withColumn("attrs", attrs.cast(ATTRS)).drop("_base", "_above")
 
 
 def set_base_uri(seq: DataFrame, uri: Column | str) -> DataFrame:

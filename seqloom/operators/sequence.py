@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from seqloom.functions.errors import check, fail
+from seqloom.functions.errors import PipelineError, check, fail
 from seqloom.operators.rewrite import Name, name_parts
 
 #: pos values in a bucket; pos is unique within iter, so a bucket has at most so many rows.
@@ -131,17 +131,23 @@ def element_text(name: Name, content: Column, attributes: dict[str, Column] | No
     return F.concat(F.lit(f"<{full}{declared}"), *pairs, F.lit(">"), content, F.lit(f"</{full}>"))
 
 
-def wrap_sequence(seq: DataFrame, name: Name, group_adjacent: Column | None = None) -> DataFrame:
-    """One document around all of the sequence, or around each run of neighbours with equal keys.
+def wrap_sequence(seq: DataFrame, name: Name, group_adjacent: Column | None = None, iterations: DataFrame | None = None) -> DataFrame:
+    """One document around all of each iteration's sequence, or around each run of neighbours with equal keys.
 
     A document is a row, so one made of the whole sequence is as large as it:
     that is what the step without a key means. An empty sequence gives one
-    empty wrapper without a key, and none with one.
+    empty wrapper without a key (for each row of iterations(iter), by default
+    the one iteration 0), and none with one.
     """
     pieces = lambda: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "doc"))), lambda x: x["doc"]), "")
     if group_adjacent is None:
-        whole = seq.agg(F.coalesce(F.first("iter"), F.lit(0)).alias("iter"), F.lit(0).cast("bigint").alias("pos"), F.first("base_uri").alias("base_uri"), pieces().alias("_c"))
-        return whole.select("iter", "pos", "base_uri", element_text(name, F.col("_c")).alias("doc"))
+        each = seq.groupBy("iter").agg(F.min_by("base_uri", "pos").alias("base_uri"), pieces().alias("_c"))
+        if iterations is not None:
+            each = iterations.select("iter").join(each, "iter", "left")
+        else:  # no row at all: an aggregate without groups still gives one
+            none = seq.agg(F.count(F.lit(1)).alias("_n")).filter("_n = 0").select(F.lit(0).cast("bigint").alias("iter"), F.lit(None).cast("string").alias("base_uri"), F.lit("").alias("_c"))
+            each = each.unionByName(none)
+        return each.select("iter", F.lit(0).cast("bigint").alias("pos"), "base_uri", element_text(name, F.coalesce("_c", F.lit(""))).alias("doc"))
     runs = adjacent_runs(seq, group_adjacent.cast("string"))
     grouped = runs.groupBy("iter", "run").agg(F.min_by("base_uri", "pos").alias("base_uri"), pieces().alias("_c"))
     return grouped.select("iter", F.col("run").alias("pos"), "base_uri", element_text(name, F.col("_c")).alias("doc"))
@@ -170,7 +176,7 @@ def concat(*seqs: DataFrame) -> DataFrame:
         union = union.unionByName(p)
     sizes = union.groupBy("iter", "_branch").agg(F.count(F.lit(1)).alias("_n"))
     starts = sizes.select("iter", "_branch", (F.sum("_n").over(Window.partitionBy("iter").orderBy("_branch")) - F.col("_n")).alias("_start"))
-    return union.join(F.broadcast(starts), ["iter", "_branch"]).withColumn("pos", F.col("_start") + F.col("position") - 1).drop("_branch", "_start", "position") if len(seqs) > 1 else seqs[0]
+    return union.join(starts, ["iter", "_branch"]).withColumn("pos", F.col("_start") + F.col("position") - 1).drop("_branch", "_start", "position") if len(seqs) > 1 else seqs[0]
 
 
 def compare(left: DataFrame, right: DataFrame, fail_if_not_equal: bool = False) -> DataFrame:
@@ -203,17 +209,40 @@ def choose(seq: DataFrame, branches: list[tuple[Column, Callable[[DataFrame], Da
 
 
 def try_catch(seq: DataFrame, group: Callable[[DataFrame], DataFrame], catch: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Rows for which group's `error` column is null as they are; the others, with it, through catch.
+    """The rows of group, and those of catch for the documents that group fails on.
 
-    Errors are data here: group gives a column error (null, or a code with a
-    message), so one bad document does not end the job.
+    Errors are data here, so one bad document does not end the job: group gives
+    a column error (null, or a code with a message). If group cannot be built
+    at all (a wrong option), all documents go to catch with that error.
     """
-    done = group(seq)
+    try:
+        done = group(seq)
+    except PipelineError as x:
+        return catch(seq.withColumn("error", F.lit(str(x))))
     good = done.filter(F.col("error").isNull()).drop("error")
     return good.unionByName(catch(done.filter(F.col("error").isNotNull())), allowMissingColumns=True)
 
 
-def until_unchanged(seq: DataFrame, body: Callable[[DataFrame], DataFrame], most: int = 100) -> DataFrame:
+def try_parsed(seq: DataFrame, group: Callable[[DataFrame], DataFrame], catch: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """try_catch for steps on tokens: group maps the tokens of the documents that can be read to a sequence.
+
+    catch gets the others as rows iter, pos, base_uri, doc, code, message, or
+    all documents if group cannot be built. Documents are read once, into a
+    table that both branches use.
+    """
+    from seqloom.plans.scratch import materialize
+    from seqloom.sources.xml import parse
+
+    tokens = materialize(parse(seq, errors=True), "try")
+    try:
+        good = group(tokens.filter("kind <> 'error'"))
+    except PipelineError as x:
+        return catch(seq.withColumn("code", F.lit(x.code)).withColumn("message", F.lit(x.message)))
+    bad = tokens.filter("kind = 'error'").select("iter", "pos", F.col("local").alias("code"), F.col("value").alias("message"))
+    return good.unionByName(catch(seq.join(bad, ["iter", "pos"])), allowMissingColumns=True)
+
+
+def until_unchanged(seq: DataFrame, body: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Repeat body until every document is deep-equal to its last state; a body that loses or adds documents is XD0006.
 
     Each round is written to the shared folder, and only documents that still
@@ -223,7 +252,7 @@ def until_unchanged(seq: DataFrame, body: Callable[[DataFrame], DataFrame], most
     from seqloom.sources.xml import canonical, parse
 
     done, now = None, materialize(seq, "until")
-    for _ in range(most):
+    while True:
         new = materialize(body(now), "until")
         a = canonical(parse(now)).withColumnRenamed("digest", "_a")
         b = canonical(parse(new)).withColumnRenamed("digest", "_b")
@@ -233,4 +262,3 @@ def until_unchanged(seq: DataFrame, body: Callable[[DataFrame], DataFrame], most
         now = materialize(new.join(state.filter(~F.col("_same")), ["iter", "pos"], "left_semi"), "until")
         if not now.limit(1).count():
             return done
-    raise RuntimeError(f"still changing after {most} rounds")

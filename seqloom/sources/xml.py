@@ -98,14 +98,24 @@ def tokens_of(doc: str) -> list[tuple]:
     return out
 
 
-def parse(seq: DataFrame) -> DataFrame:
-    """The token table of a sequence. Each document is read by one task; no shuffle."""
+def parse(seq: DataFrame, errors: bool = False) -> DataFrame:
+    """The token table of a sequence. Each document is read by one task; no shuffle.
+
+    A document that is not well-formed, or null, ends the job with XD0011;
+    with errors, it gives one row of kind error instead, with the code in local
+    and the message in value.
+    """
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             heads, rows, numbers = batch.select(["iter", "pos", "base_uri"]), [], []
             for i, doc in enumerate(batch.column("doc").to_pylist()):
-                found = tokens_of(doc if doc is not None else "")
+                try:
+                    found = tokens_of(doc if doc is not None else "")
+                except PipelineError as x:
+                    if not errors:
+                        raise
+                    found = [(0.0, "error", 0, -1, [], "", 0, "", "", x.code, x.message, [], [])]
                 rows += found
                 numbers += [i] * len(found)
                 if len(rows) > 20_000:
@@ -160,7 +170,36 @@ def markup() -> Column:
     )
 
 
-def serialize(tokens: DataFrame) -> DataFrame:
+#: Serialization parameters and their defaults.
+OUTPUT = {"method": "xml", "omit_xml_declaration": True, "standalone": "omit", "indent": False, "cdata_section_elements": (), "doctype_public": None, "doctype_system": None, "encoding": "UTF-8"}
+
+
+def output(tokens: DataFrame, **options) -> DataFrame:
+    """serialize() with the parameters of an output port (OUTPUT; another name or method: XD0020).
+
+    text: the string value; xml: with a declaration, a document type, indented,
+    and with the text of some elements (local names) in CDATA sections.
+    """
+    from seqloom.functions.errors import check
+    from seqloom.operators.rewrite import pretty_print
+
+    check(set(options) <= set(OUTPUT), "XD0020", str(options))
+    o = OUTPUT | options
+    check(o["method"] in ("xml", "text") and o["encoding"].upper() in ("UTF-8", "UTF8"), "XD0020", str(options))
+    if o["method"] == "text":
+        return serialize(tokens.filter("kind = 'text'"), as_text=True)
+    rows = pretty_print(tokens) if o["indent"] else tokens
+    out = serialize(rows, cdata=tuple(o["cdata_section_elements"]))
+    alone = {"omit": "", True: ' standalone="yes"', False: ' standalone="no"'}[o["standalone"]]
+    head = "" if o["omit_xml_declaration"] else f'<?xml version="1.0" encoding="UTF-8"{alone}?>\n'
+    kind = f'PUBLIC "{o["doctype_public"]}" "{o["doctype_system"] or ""}"' if o["doctype_public"] else f'SYSTEM "{o["doctype_system"]}"'
+    if o["doctype_public"] or o["doctype_system"]:
+        root = rows.filter((F.col("kind") == "open") & (F.size("ancestors") == 0)).select("iter", "pos", qname().alias("_root"))
+        out = out.join(root, ["iter", "pos"], "left").withColumn("doc", F.concat(F.lit("<!DOCTYPE "), F.coalesce("_root", F.lit("")), F.lit(f" {kind}>\n"), F.col("doc"))).drop("_root")
+    return out.withColumn("doc", F.concat(F.lit(head), F.col("doc")))
+
+
+def serialize(tokens: DataFrame, cdata: tuple[str, ...] = (), as_text: bool = False) -> DataFrame:
     """The sequence of a token table: one group a document, as large as the document.
 
     A namespace that a step has brought in without declaring it (a new name's)
@@ -169,7 +208,11 @@ def serialize(tokens: DataFrame) -> DataFrame:
     # An element of no namespace undoes the default namespace of one around it.
     default = F.max((F.col("ns") != "") & (F.col("prefix") == "") & (F.col("kind") == "open")).over(Window.partitionBy("iter", "pos"))
     t = tokens.withColumn("_default", default).withColumn("nsdecl", _needed()).drop("_default")
-    pieces = F.array_sort(F.collect_list(F.struct("ord", markup().alias("m"))))
+    piece = F.col("value") if as_text else markup()
+    if cdata:
+        section = F.concat(F.lit("<![CDATA["), F.replace("value", F.lit("]]>"), F.lit("]]]]><![CDATA[>")), F.lit("]]>"))
+        piece = F.when((F.col("kind") == "text") & F.regexp_extract("path", r"([^/]*)$", 1).isin(*cdata), section).otherwise(piece)
+    pieces = F.array_sort(F.collect_list(F.struct("ord", piece.alias("m"))))
     grouped = t.groupBy("iter", "pos").agg(F.first("base_uri").alias("base_uri"), pieces.alias("pieces"))
     doc = F.array_join(F.transform("pieces", lambda p: p["m"]), "")
     return grouped.select("iter", "pos", "base_uri", doc.alias("doc"))

@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -138,10 +140,68 @@ def test_xinclude(spark):
     assert docs(C.xinclude(seq, resources)) == ["<d><a><b/></a>-f</d>"]
     for bad in ("missing", "loop"):
         with pytest.raises(Exception) as x:
-            C.xinclude(inline(spark, f'<d><xi:include href="{bad}"/></d>', base_uri="http://h/d/e.xml"), resources, most=3).collect()
+            C.xinclude(inline(spark, f'<d><xi:include href="{bad}"/></d>', base_uri="http://h/d/e.xml"), resources).collect()
         assert code_of(x.value) == "XC0029"
 
 
+def test_xinclude_reads_markup(spark):
+    """Any prefix and quotes; comments and CDATA are no includes; relative to the resource; 25 levels; declarations go; fix-up."""
+    xi = 'xmlns:i="http://www.w3.org/2001/XInclude"'
+    seq = inline(spark, f"<?xml version='1.0'?><!DOCTYPE d [<!ENTITY e 'x'>]><d {xi} xml:lang='fr'><!-- <i:include href='none'/> --><i:include href='s/a.xml' >z</i:include><![CDATA[<i:include/>]]></d>", f"<d {xi}/>", f"<i:include {xi} href='l0'/>", base_uri="http://h/d/e.xml")
+    rows = [("http://h/d/s/a.xml", f"<?xml version='1.0'?>\n<a {xi}><i:include href='b.xml'/></a>"), ("http://h/d/s/b.xml", "<b/>")]
+    rows += [(f"http://h/d/l{k}", f"<l {xi}><i:include href='l{k + 1}'/></l>") for k in range(25)] + [("http://h/d/l25", "<end/>")]
+    resources = spark.createDataFrame(rows, "uri string, doc string")
+    got = docs(C.xinclude(seq, resources))
+    assert got[0].endswith(f"xml:lang='fr'><!-- <i:include href='none'/> -->\n<a {xi}><b/></a><![CDATA[<i:include/>]]></d>") and got[1] == f"<d {xi}/>" and got[2].count("<l ") == 25 and "<end/>" in got[2]
+    fixed = docs(C.xinclude(seq, resources, fixup_xml_base=True, fixup_xml_lang=True))[0]
+    assert f'<a xml:base="http://h/d/s/a.xml" xml:lang="fr" {xi}><b xml:base="http://h/d/s/b.xml"/></a>' in fixed
+
+
+def test_try_catches_documents_that_cannot_be_read(spark):
+    seq = inline(spark, "<a/>", "<a", "<b>x</b>").unionByName(inline(spark, "x").selectExpr("iter", "pos + 9 AS pos", "base_uri", "CAST(null AS string) AS doc"))
+    catch = lambda d: d.select("iter", "pos", "base_uri", F.col("code").alias("doc"))
+    assert docs(S.try_parsed(seq, lambda t: serialize(R.rename(t, M.element("a"), "c")), catch)) == ["<c></c>", "XD0011", "<b>x</b>", "XD0011"]
+    assert docs(S.try_parsed(seq, lambda t: serialize(R.rename(t, M.element("a"), "x:y")), catch)) == ["XD0034"] * 4
+    assert [r.error[:8] for r in S.try_catch(seq, lambda d: S.count(d, "x"), lambda d: d).collect()] == ["[XD0019]"] * 4
+
+
+def test_wrap_sequence_by_iteration(spark):
+    seq = inline(spark, "<a/>", "<b/>").withColumn("iter", F.col("pos"))
+    assert docs(S.wrap_sequence(seq, "w")) == ["<w><a/></w>", "<w><b/></w>"]
+    assert docs(S.wrap_sequence(seq, "w", iterations=spark.range(3).select(F.col("id").alias("iter")))) == ["<w><a/></w>", "<w><b/></w>", "<w></w>"]
+
+
+def test_add_xml_base_where_it_changes(spark):
+    doc = '<d><p xml:base="sub/q.xml"><r xml:base="r.xml"/><s/></p><t xml:base="http://o/x"/><u xml:base="e.xml"/></d>'
+    seq = inline(spark, doc, base_uri="http://h/d/e.xml")
+    out = lambda **o: re.sub(r"></\w>", "/>", docs(serialize(R.add_xml_base(parse(seq), **o)))[0])
+    assert out() == '<d xml:base="http://h/d/e.xml"><p xml:base="sub/q.xml"><r xml:base="r.xml"/><s/></p><t xml:base="http://o/x"/><u/></d>'
+    assert out(relative=False) == '<d xml:base="http://h/d/e.xml"><p xml:base="http://h/d/sub/q.xml"><r xml:base="http://h/d/sub/r.xml"/><s/></p><t xml:base="http://o/x"/><u/></d>'
+    assert out(all=True, relative=False).count("xml:base=") == 6
+
+
+def test_output_parameters(spark):
+    tokens = parse(inline(spark, "<d><p>a &lt; b</p><q>c</q></d>"))
+    from seqloom.sources.xml import output
+
+    assert docs(output(tokens, omit_xml_declaration=False, standalone=True, cdata_section_elements=["p"], doctype_system="d.dtd")) == ['<?xml version="1.0" encoding="UTF-8" standalone="yes"?>\n<!DOCTYPE d SYSTEM "d.dtd">\n<d><p><![CDATA[a < b]]></p><q>c</q></d>']
+    assert docs(output(tokens, method="text")) == ["a < bc"] and docs(output(tokens, indent=True))[0].count("\n") == 3
+    for bad in ({"method": "pdf"}, {"colour": 1}):
+        with pytest.raises(PipelineError):
+            output(tokens, **bad)
+
+
+def test_step_names_are_a_registry(spark):
+    assert not any(P.step_available(f"p:{n}") for n in ("check", "Rule", "materialize", "attr", "fail"))
+    P.register_step("my:twice", lambda seq: S.concat(seq, seq))
+    assert P.step_available("my:twice") and docs(P.step("my:twice")(inline(spark, "<a/>"))) == ["<a/>", "<a/>"]
+    P.add_properties({"color": "red"}, "my")
+    assert P.system_property("my:color") == "red" and P.system_property("p:color") == ""
+    for bad in (lambda: P.register_step("my:twice", len), lambda: P.step("my:none")):
+        with pytest.raises(PipelineError):
+            bad()
+
+
 def test_schematron(spark):
     seq = inline(spark, '<d><p a="1"/><p/></d>', "<d/>")
     report = C.schematron(parse(seq), [C.Rule("r", M.element("p"), M.attr("a").isNotNull(), "no a"), C.Rule("s", M.element("d"), F.lit(False), "never", phase="other")], phase="one")
