@@ -45,7 +45,7 @@ q AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(regexp_replace(u0,
 k AS (SELECT *, regexp_extract(u, '^[^/?]*') AS host FROM q),
 c AS (SELECT *, regexp_replace(regexp_replace(lower(host), '^www\.', ''), ':(80|443)$', '') || regexp_replace(substr(u, len(host) + 1), '/+$', '') AS key FROM k),
 m AS (SELECT r.page_id * 2 + 1 AS record_id, r.url, r.page_id + 86400 AS ts, r.etag, max_by(a.page_id, a.page_id) AS resp
-  FROM c r LEFT JOIN c a ON a.key = r.key AND a.page_id <= r.page_id + 86400 GROUP BY ALL)
+  FROM c r LEFT JOIN c a ON a.key = r.key AND a.page_id <= r.page_id + 86400 AND a.page_id % 7 <> 3 GROUP BY ALL)
 SELECT m.record_id, m.url, m.ts, m.resp * 2 AS response_id, CASE WHEN m.resp IS NULL THEN 'no_response' WHEN a.etag = m.etag THEN 'resolved' ELSE 'mismatch' END AS outcome,
   CASE WHEN a.etag = m.etag THEN a.digest END AS digest, m.etag, m.ts::VARCHAR AS date, CASE WHEN a.etag = m.etag THEN 'text/html' ELSE 'text/plain' END AS content_type
 FROM m LEFT JOIN c a ON a.page_id = m.resp

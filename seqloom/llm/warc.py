@@ -9,8 +9,12 @@ merged with those that a 304 answer may update.
 
 from __future__ import annotations
 
+import base64
 import gzip
+import hashlib
+import io
 import re
+import zlib
 from collections.abc import Iterator
 from datetime import UTC, datetime, timedelta
 
@@ -26,8 +30,12 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/server-not-modified"
 #: Captures of one URL are dealt to tasks by spans of so many seconds.
 SPAN = 3600
 RECORD = "record_id long, kind string, url string, ts long, headers map<string,string>, digest string, body binary"
-#: What parse_warc gives: record_key is the whole WARC-Record-ID without its brackets; record_id its number, if to_warc wrote it.
-PARSED = RECORD + ", record_key string"
+#: What parse_warc gives: record_key is the whole WARC-Record-ID without its brackets; record_id its number, if to_warc wrote it; flaw what is wrong with the record (null: nothing).
+PARSED = RECORD + ", record_key string, flaw string"
+#: cut: the file or its compression ends early; length, date: the field is missing or no number or date; digest: the body has another.
+FLAWS = ("cut", "length", "date", "digest")
+#: Bytes of records that a task holds at a time, beside one record.
+BATCH = 4 << 20
 #: Dates as WARC/1.0 and 1.1 write them, of any precision from the year to parts of a second.
 DATE = re.compile(r"(\d{4})(?:-(\d\d)(?:-(\d\d)(?:[Tt ](\d\d):(\d\d)(?::(\d\d)(?:\.\d+)?)?(?:[Zz]|([+-])(\d\d):?(\d\d))?)?)?)?")
 EPOCH = datetime(1970, 1, 1, tzinfo=UTC)
@@ -103,34 +111,79 @@ def _fields(head: bytes) -> dict[str, str]:
     return {k.decode("utf-8", "replace").strip().lower(): v.decode("utf-8", "replace").strip() for k, _, v in pairs if k}
 
 
-def parse_warc(files: DataFrame, bodies: bool = True) -> DataFrame:
+def _digest_differs(digest: str | None, body: bytes) -> bool:
+    """Whether a digest (algorithm:value in base32 or hexadecimal digits) of a known algorithm is not that of the body."""
+    name, _, value = (digest or "").partition(":")
+    if name.lower().replace("-", "") not in ("sha1", "sha256", "md5", "sha512"):
+        return False
+    own = hashlib.new(name.lower().replace("-", ""), body).digest()
+    return value.lower() != own.hex() and value.upper().rstrip("=") != base64.b32encode(own).decode().rstrip("=")
+
+
+def _records(content: bytes, bodies: bool) -> Iterator[tuple]:
+    """The rows of one file, read record by record: compressed members are inflated as they are reached."""
+    raw = io.BytesIO(content)
+    stream = gzip.GzipFile(fileobj=raw) if content[:2] == b"\x1f\x8b" else raw
+    try:
+        while line := stream.readline():
+            if not line.startswith(b"WARC/"):
+                continue
+            head = [line]
+            while (line := stream.readline()) not in (b"\r\n", b"\n", b""):
+                head.append(line)
+            named = _fields(b"".join(head))
+            kind, key, url = named.get("warc-type"), named.get("warc-record-id", "").strip("<>"), named.get("warc-target-uri")
+            if url and url[0] == "<" and url[-1] == ">":
+                url = url[1:-1]
+            ts, size = _seconds(named.get("warc-date", "")), named.get("content-length", "")
+            row = (_number(key), kind, url, ts, [], named.get("warc-payload-digest"), None, key or None)
+            if not line or not re.fullmatch(r"\d{1,18}", size):
+                yield *row, "length" if line else "cut"
+                continue
+            block = stream.read(int(size))
+            if len(block) < int(size):
+                yield *row, "cut"
+                return
+            if kind not in ("response", "revisit"):
+                continue
+            http, _, body = block.partition(b"\r\n\r\n")
+            flaw = "date" if ts is None else "digest" if kind == "response" and _digest_differs(row[5], body) else None
+            yield *row[:4], list(_fields(http).items()), row[5], body if bodies else None, row[7], flaw
+    except (EOFError, zlib.error, gzip.BadGzipFile):
+        yield None, None, None, None, [], None, None, None, "cut"
+
+
+def parse_warc(files: DataFrame, bodies: bool = True, flawed: bool = False) -> DataFrame:
     """The response and revisit records in files(content), such as spark.read.format("binaryFile") gives; gzip or plain.
 
     ts: WARC-Date as seconds since 1970. record_key: WARC-Record-ID, as
     '<urn:uuid:...>' without the brackets. A target in brackets (WARC/1.0) is
-    read without them. Other kinds of record are passed over; a record cut off at the end of a
-    file is dropped. Null content has no records.
+    read without them. Other kinds of record are passed over. A file is read
+    record by record, so beside its content a task holds one record and some MB.
+    Records with a flaw are dropped, or with flawed returned too, to be counted
+    (see FLAWS): what is cut off, without a length or a date, or whose body
+    does not have its digest. What follows a flaw is read if it can be. Null
+    content has no records; an empty table gives no rows; repeated rows stay;
+    other columns are ignored.
     """
+    kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.map_(pa.string(), pa.string()), pa.string(), pa.binary(), pa.string(), pa.string()]
+
+    def table(rows: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*rows, strict=True)) or [[]] * len(kinds)
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in PARSED.split(", ")])
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, size = [], 0
         for batch in batches:
-            rows = []
-            for data in batch.column("content").to_pylist():
-                data, at = gzip.decompress(data) if data and data[:2] == b"\x1f\x8b" else data or b"", 0
-                while (start := data.find(b"WARC/", at)) >= 0 and (end := data.find(b"\r\n\r\n", start)) >= 0:
-                    named = _fields(data[start:end])
-                    size = int(named.get("content-length", 0))
-                    block, at = data[end + 4 : end + 4 + size], end + 4 + size
-                    if len(block) < size or named.get("warc-type") not in ("response", "revisit"):
-                        continue
-                    head, _, body = block.partition(b"\r\n\r\n")
-                    key, url = named.get("warc-record-id", "").strip("<>"), named.get("warc-target-uri")
-                    if url and url[0] == "<" and url[-1] == ">":
-                        url = url[1:-1]
-                    rows.append((_number(key), named["warc-type"], url, _seconds(named.get("warc-date", "")), list(_fields(head).items()), named.get("warc-payload-digest"), body if bodies else None, key or None))
-            columns = list(zip(*rows, strict=True)) or [[]] * 8
-            kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.map_(pa.string(), pa.string()), pa.string(), pa.binary(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in PARSED.split(", ")])
+            for content in batch.column("content"):
+                for row in _records(content.as_py() or b"", bodies):
+                    if flawed or row[-1] is None:
+                        rows.append(row)
+                        size += 500 + len(row[6] or b"")
+                    if size > BATCH:
+                        yield table(rows)
+                        rows, size = [], 0
+        yield table(rows)
 
     return files.select("content").mapInArrow(parse, PARSED)
 
@@ -141,8 +194,10 @@ def resolve_revisits(records: DataFrame, span: int = SPAN) -> DataFrame:
     outcome: resolved, mismatch (a validator of both differs; response_id is
     kept, headers are the revisit's own) or no_response (none is earlier; of
     equal times, a response counts as earlier; of equal responses, the greater
-    record_id, then record_key, which is null where the records have none). A null time is before all others; null URLs are one URL;
-    repeated revisits stay. Bodies are not shuffled: fetch them by response_key, or by response_id.
+    record_id, then record_key, which is null where the records have none). A
+    null time is before all others; null URLs are one URL; repeated revisits
+    stay; headers of any length stay whole; other columns are ignored; an empty
+    table gives no rows. Bodies are not shuffled: fetch them by response_key, or by response_id.
     The captures of one URL are split by time, so a URL with a third of all
     captures is spread; only one row a span is ordered by URL alone.
     """
@@ -177,11 +232,14 @@ def resolve_revisits(records: DataFrame, span: int = SPAN) -> DataFrame:
 
 
 def records_of_pages(pages: DataFrame, after: int = 86_400) -> DataFrame:
-    """Captures of a table pages(page_id, url, html): a response at second page_id, and a revisit, with the same entity tag, so many seconds later."""
+    """Captures of a table pages(page_id, url, html): a response at second page_id, and a revisit, with the same entity tag, so many seconds later.
+
+    Of every seventh page only the revisit was captured.
+    """
     base = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), F.coalesce("page_id", F.lit(0)).alias("at"))
     tag = F.concat(F.lit('"'), F.md5(F.col("html").cast("binary")), F.lit('"'))
     digest = F.concat(F.lit("sha256:"), F.sha2(F.col("html").cast("binary"), 256))
-    answers = base.select(
+    answers = base.filter(F.col("at") % 7 != 3).select(
         (F.col("page_id") * 2).alias("record_id"), F.lit("response").alias("kind"), "url", F.col("at").alias("ts"),
         F.create_map(F.lit("content-type"), F.lit("text/html"), F.lit("etag"), tag, F.lit("date"), F.col("at").cast("string")).alias("headers"), digest.alias("digest"), F.col("html").cast("binary").alias("body"),
     )

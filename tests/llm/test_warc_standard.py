@@ -41,3 +41,30 @@ def test_dates():
     assert warc._date(1714557600) == "2024-05-01T10:00:00Z"
     for ts in (0, 5, -62135596800, 253402300799, 1 << 50, -(1 << 50)):
         assert warc._seconds(warc._date(ts)) == ts
+
+
+def warc_record(kind, body, **named):
+    import hashlib
+
+    http = b"HTTP/1.1 200 OK\r\nETag: x\r\n\r\n" + body
+    fields = {"WARC-Type": kind, "WARC-Record-ID": f"<urn:uuid:{hashlib.md5(body).hexdigest()}>", "WARC-Target-URI": "http://h.example/", "WARC-Date": "2024-05-01T10:00:00Z", "Content-Length": len(http)} | {k.replace("_", "-"): v for k, v in named.items()}
+    return b"WARC/1.0\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields.items()).encode() + b"\r\n" + http + b"\r\n\r\n"
+
+
+def test_flawed_records_are_dropped_and_counted(spark):
+    import base64
+    import gzip
+    import hashlib
+    from collections import Counter
+
+    sha1 = lambda b: "sha1:" + base64.b32encode(hashlib.sha1(b).digest()).decode()
+    good = [warc_record("response", b"one", WARC_Payload_Digest=sha1(b"one")), warc_record("revisit", b"", WARC_Payload_Digest=sha1(b"one")), warc_record("warcinfo", b"i")]
+    bad = [warc_record("response", b"two", WARC_Payload_Digest=sha1(b"other")), warc_record("response", b"three", Content_Length="many"), warc_record("response", b"four", WARC_Date="soon")]
+    last = warc_record("response", b"five")
+    plain = b"".join(good + bad + [last])
+    files = [plain, plain[:-20], b"".join(map(gzip.compress, good + bad + [last])), b"".join(map(gzip.compress, good + bad)) + gzip.compress(last)[:-30], b"", None, b"\x1f\x8bno"]
+    df = spark.createDataFrame([(i, f) for i, f in enumerate(files)], "n long, content binary")
+    for bodies in (True, False):
+        assert Counter(r.kind for r in warc.parse_warc(df, bodies).collect()) == {"response": 6, "revisit": 4}
+    flaws = Counter(r.flaw for r in warc.parse_warc(df, flawed=True).collect())
+    assert flaws == {None: 10, "digest": 4, "length": 4, "date": 4, "cut": 3}
