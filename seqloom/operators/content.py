@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from html.parser import HTMLParser
 from xml.parsers import expat
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -133,6 +135,37 @@ def json_to_xml(value: Column, schema: str, name: str = "json") -> Column:
     return F.when(parsed.isNotNull(), F.concat(F.lit(f'<{name} type="object">'), *parts, F.lit(f"</{name}>")))
 
 
+def json_document(value: Column, name: str = "json") -> Column:
+    """JSON of any form as a document: objects, arrays and values nest as elements with a type; a name that XML does not allow stands in attribute name of a pair element. Null for what is not JSON."""
+
+    def work(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: _json_markup(v, name) if v is not None else None)
+
+    return F.pandas_udf(work, "string")(value)
+
+
+def _json_markup(text: str, name: str) -> str | None:
+    from xml.sax.saxutils import escape, quoteattr
+
+    def put(tag: str, value, more: str = "") -> str:
+        if isinstance(value, dict):
+            kind, inner = "object", "".join(put(k, v) if re.fullmatch(r"[A-Za-z_][\w.-]*", k) and not k.lower().startswith("xml") else put("pair", v, f" name={quoteattr(k)}") for k, v in value.items())
+        elif isinstance(value, list):
+            kind, inner = "array", "".join(put("item", v) for v in value)
+        else:
+            kind = "null" if value is None else "boolean" if isinstance(value, bool) else "number" if isinstance(value, Number) else "string"
+            inner = "" if value is None else str(value).lower() if isinstance(value, bool) else str(value) if isinstance(value, Number) else escape(value)
+        return f'<{tag}{more} type="{kind}">{inner}</{tag}>'
+
+    class Number(str):
+        """A number as it is written."""
+
+    try:
+        return put(name, json.loads(text, parse_int=Number, parse_float=Number))
+    except (ValueError, RecursionError):
+        return None
+
+
 def text_range(text: Column, pointer: Column) -> Column:
     """The part of a plain text that a pointer names: line=a,b or char=a,b, places between lines or characters from 0.
 

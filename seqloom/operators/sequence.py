@@ -63,6 +63,36 @@ def _prefix_of_iters(sizes: DataFrame) -> DataFrame:
     return b.join(before, "_bucket").select("iter", (F.col("_earlier") + within).alias("_start"))
 
 
+def input_select(seq: DataFrame, match: Column) -> DataFrame:
+    """A port's select: every matched element of every document as a document of the sequence, in order.
+
+    Places are counted within each document and, by buckets, over the documents.
+    """
+    from seqloom.operators.rewrite import select
+    from seqloom.plans.scratch import materialize
+    from seqloom.sources.xml import parse, serialize
+
+    tokens = materialize(parse(seq), "select")
+    roots = tokens.filter(match & (F.col("kind") == "open")).select("iter", "pos", F.col("ord").alias("ord_in"))
+    numbered = roots.withColumn("_k", F.row_number().over(Window.partitionBy("iter", "pos").orderBy("ord_in")))
+    sizes = _bucketed(roots.groupBy("iter", "pos").agg(F.count(F.lit(1)).alias("_n")))
+    per = sizes.groupBy("iter", "_bucket").agg(F.sum("_n").alias("_b"))
+    per = per.select("iter", "_bucket", (F.sum("_b").over(Window.partitionBy("iter").orderBy("_bucket")) - F.col("_b")).alias("_earlier"))
+    starts = sizes.join(per, ["iter", "_bucket"]).select("iter", "pos", (F.col("_earlier") + F.sum("_n").over(_per_bucket()) - F.col("_n")).alias("_start"))
+    places = numbered.join(starts, ["iter", "pos"]).select("iter", "pos", "ord_in", (F.col("_start") + F.col("_k") - 1).cast("bigint").alias("_pos"))
+    chosen = select(tokens, match).join(places, ["iter", "pos", "ord_in"])
+    return serialize(chosen.drop("pos", "ord_in").withColumnRenamed("_pos", "pos"))
+
+
+def check_cardinality(seq: DataFrame, iterations: DataFrame | None = None, code: str = "XD0007") -> DataFrame:
+    """The sequence of a port that takes one document (of each row of iterations): none or several are error XD0006 (inputs) or XD0007 (outputs) when it is read."""
+    sizes = seq.groupBy("iter").agg(F.count(F.lit(1)).alias("_n"))
+    asked = iterations.select("iter") if iterations is not None else sizes.select("iter")
+    wrong = asked.join(sizes, "iter", "left").filter(F.coalesce("_n", F.lit(0)) != 1).select("iter", F.lit(True).alias("_wrong"))
+    none = seq.select("iter", "pos", "base_uri", "doc").join(wrong, "iter", "full_outer")
+    return none.withColumn("doc", F.when(F.col("_wrong"), fail(code, "the port takes one document")).otherwise(F.col("doc"))).drop("_wrong")
+
+
 def identity(seq: DataFrame) -> DataFrame:
     return seq
 

@@ -104,9 +104,32 @@ def tail(rows: DataFrame, n: int = 10, order: str = "line") -> DataFrame:
 
 
 def java_properties(spark: SparkSession, path: str) -> DataFrame:
-    """name, value of a .properties file: comments and blank lines apart; =, : or space between."""
-    rows = spark.read.text(path).filter(~F.col("value").rlike(r"^\s*(?:[#!]|$)"))
-    return rows.select(F.regexp_extract("value", r"^\s*([^\s=:]+)", 1).alias("name"), F.regexp_replace("value", r"^\s*[^\s=:]+\s*[=:]?\s*", "").alias("value"))
+    """name, value of a .properties file: comments and blank lines apart; =, : or space between; lines that go on after a backslash, and escapes."""
+    whole = spark.read.text(path, wholetext=True)
+    joined = F.regexp_replace("value", r"(?<!\\)((?:\\\\)*)\\\r?\n[ \t\f]*", "$1")
+    rows = whole.select(F.explode(F.split(joined, r"\r?\n")).alias("value")).filter(~F.col("value").rlike(r"^\s*(?:[#!]|$)"))
+    name = F.regexp_extract("value", r"^\s*((?:\\.|[^\s=:\\])+)", 1)
+    return rows.select(_unescaped(name).alias("name"), _unescaped(F.regexp_replace("value", r"^\s*(?:\\.|[^\s=:\\])+\s*[=:]?\s*", "")).alias("value"))
+
+
+def _unescaped(value: Column) -> Column:
+    """Escapes of a .properties file undone: those that JSON has are read as JSON, of others the backslash goes."""
+    plain = F.regexp_replace(value, r"\\([^tnrfu\\])", "$1")
+    quoted = F.replace(F.replace(plain, F.lit('"'), F.lit('\\"')), F.lit("\t"), F.lit("\\t"))
+    return F.coalesce(F.from_json(F.concat(F.lit('{"v":"'), quoted, F.lit('"}')), "v string")["v"], plain)
+
+
+def log_port(seq: DataFrame, path: str) -> DataFrame:
+    """Write what passes a port to a folder of Parquet files, for later reading; the documents pass from there."""
+    seq.write.parquet(path)
+    return seq.sparkSession.read.schema(seq.schema).parquet(path)
+
+
+def read_json(spark: SparkSession, path: str) -> DataFrame:
+    """Files that hold JSON instead of markup, as documents (see content.json_document)."""
+    from seqloom.operators.content import json_document
+
+    return load(spark, path).withColumn("doc", json_document(F.col("doc")))
 
 
 def _bytes_udf(name: str):
@@ -139,6 +162,8 @@ def unzip(archives: DataFrame, entry: str | None = None) -> DataFrame:
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                if content is None:
+                    continue
                 with zipfile.ZipFile(io.BytesIO(content)) as z:
                     for info in z.infolist():
                         if entry is None or info.filename == entry:
