@@ -114,7 +114,7 @@ def java_properties(spark: SparkSession, path: str) -> DataFrame:
 
 def _unescaped(value: Column) -> Column:
     """Escapes of a .properties file undone: those that JSON has are read as JSON, of others the backslash goes."""
-    plain = F.regexp_replace(value, r"\\([^tnrfu\\])", "$1")
+    plain = F.regexp_replace(value, r"(\\\\)|\\([^tnrfu\\])", "$1$2")
     quoted = F.replace(F.replace(plain, F.lit('"'), F.lit('\\"')), F.lit("\t"), F.lit("\\t"))
     return F.coalesce(F.from_json(F.concat(F.lit('{"v":"'), quoted, F.lit('"}')), "v string")["v"], plain)
 
