@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from seqloom.functions.errors import PipelineError, check, fail
 from seqloom.functions.uris import resolve_uri
 from seqloom.operators.match import is_element
+from seqloom.plans.scratch import materialize
 from seqloom.sources.xml import ATTRS, KEYS, XML_NS, parse, serialize
 
 Name = str | tuple[str, str, str]
@@ -260,6 +261,11 @@ def replace(tokens: DataFrame, match: Column, replacement: DataFrame) -> DataFra
     return _spread(marked, F.when(F.col("_m"), placed).otherwise(F.array(fields())))
 
 
+def matched(tokens: DataFrame, match: Column) -> DataFrame:
+    """The start tags of matched elements: what is enough to count them or to read their attributes, without select's documents."""
+    return tokens.filter(match & (F.col("kind") == "open"))
+
+
 def select(tokens: DataFrame, match: Column) -> DataFrame:
     """The filter step: every matched element becomes a document of its own, in document order.
 
@@ -284,7 +290,8 @@ def viewport(tokens: DataFrame, match: Column, body: Callable[[DataFrame], DataF
     """
     marked = _marked(tokens.withColumn("kind", F.when(match & ~is_element(), fail("XD0010", "viewport over another kind of node")).otherwise(F.col("kind"))), match)
     start = F.last(F.when(F.col("_m") & (F.col("kind") == "open"), F.col("ord")), ignorenulls=True).over(_document())
-    marked = marked.withColumn("_s", start)
+    # Read by three branches: written once.
+    marked = materialize(marked.withColumn("_s", start), "viewport")
     inside = marked.filter("_m or _in").drop("_m", "_in")
     rest = marked.filter("not _m and not _in").drop("_m", "_in", "_s")
     # While the body runs, pos and a hash of iter and the place within the document are a match's key.

@@ -65,6 +65,10 @@ def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return to_seq(joined, "o_orderkey", around("order", F.coalesce("x", F.lit("")), id=F.col("o_orderkey"), status=F.col("o_orderstatus")), F.lit("http://example.org/orders/"))
 
 
+#: What conditions on paths and windows over a document read of its tokens.
+NARROW = ("ord", "kind", "id", "ancestors", "path")
+
+
 def opens(tokens: DataFrame, pattern: str, **columns: str) -> DataFrame:
     return attributes_of(tokens, M.element(pattern), **columns)
 
@@ -110,7 +114,7 @@ SELECT run::BIGINT AS run, min(event_type) AS key, count(*) AS n FROM r GROUP BY
 def wrap_sequence_adjacent(spark, sf_dir):
     """wrap-sequence with a key: one document for each run of events of a type, read back by its tokens."""
     seq = events(spark, sf_dir).withColumn("key", F.regexp_extract("doc", 'type="([^"]*)"', 1))
-    wrapped = parse(S.wrap_sequence(seq, "run", F.col("key")))
+    wrapped = parse(S.wrap_sequence(seq, "run", F.col("key")), only=("ord", "kind", "id", "path", "attrs"))
     return opens(wrapped, "run/event", key="type").groupBy("pos").agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("n")).withColumnRenamed("pos", "run")
 
 
@@ -126,10 +130,12 @@ def pack_zip(spark, sf_dir):
 @query("""SELECT o.o_orderkey AS id, count(l_orderkey) AS n FROM orders o LEFT JOIN lineitem l ON o.o_orderkey = l.l_orderkey GROUP BY 1""")
 def for_each_count(spark, sf_dir):
     """for-each and count: lines of each order, orders without lines included."""
-    seq = materialize(S.iterate(materialize(orders(spark, sf_dir), "orders")), "iterations")
-    lines = R.select(parse(seq), M.element("line")).filter((F.col("kind") == "open") & (F.size("ancestors") == 0))
-    counted = S.count_each(lines, seq)
-    return counted.join(seq.select("iter", F.col("pos").alias("id")), "iter").select("id", F.col("result").alias("n"))
+    seq = materialize(orders(spark, sf_dir), "orders")
+    # The iterations are numbered by the documents' places; the documents themselves do not move.
+    each = materialize(S.iterate(seq.select("iter", "pos")), "iterations")
+    lines = R.matched(parse(seq, only=("kind", "path")), M.element("line")).select("pos")
+    counted = S.count_each(lines.join(each.select("iter", "pos"), "pos"), each)
+    return counted.join(each.select("iter", F.col("pos").alias("id")), "iter").select("id", F.col("result").alias("n"))
 
 
 @query("SELECT event_id, row_number() OVER (ORDER BY event_id) AS place, count(*) OVER () AS size FROM events")
@@ -142,14 +148,14 @@ def iteration_position_size(spark, sf_dir):
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey""")
 def label_elements(spark, sf_dir):
     # Read by two branches: written once.
-    tokens = materialize(R.label_elements(parse(orders(spark, sf_dir)), M.element("line"), "label"), "labelled")
+    tokens = materialize(R.label_elements(parse(orders(spark, sf_dir), only=(*NARROW, "attrs", "nsdecl", "value")), M.element("line"), "label"), "labelled")
     texts = R.text_of(tokens, M.element("line"))
     return opens(tokens, "line", n="n", label="label").join(texts, ["iter", "pos", "id"]).select(F.col("pos").alias("id"), F.col("n").cast("int").alias("n"), F.col("text").cast("bigint").alias("supplier"), "label")
 
 
 @query("SELECT o_orderkey AS id, count(l_orderkey) FILTER (WHERE l_quantity >= 25) AS n FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1")
 def delete_lines(spark, sf_dir):
-    tokens = materialize(R.delete(parse(orders(spark, sf_dir)), M.element("line") & (M.attr("qty").cast("bigint") < 25)), "deleted")
+    tokens = materialize(R.delete(parse(orders(spark, sf_dir), only=(*NARROW, "attrs")), M.element("line") & (M.attr("qty").cast("bigint") < 25)), "deleted")
     roots = opens(tokens, "order", id_="id")
     return roots.join(opens(tokens, "line", q="qty").groupBy("pos").agg(F.count(F.lit(1)).alias("n")), "pos", "left").select(F.col("pos").alias("id"), F.coalesce("n", F.lit(0).cast("bigint")).alias("n"))
 
@@ -219,7 +225,7 @@ def replace_lines(spark, sf_dir):
 def viewport_lines(spark, sf_dir):
     """viewport: each line is a document for a body that renames small ones."""
     body = lambda t: R.rename(t, M.element("line") & (M.attr("qty").cast("bigint") < 25), "small")
-    tokens = R.viewport(materialize(parse(orders(spark, sf_dir)), "tokens"), M.element("line"), body)
+    tokens = R.viewport(parse(orders(spark, sf_dir), only=(*NARROW, "ns", "prefix", "local", "attrs")), M.element("line"), body)
     found = tokens.filter(F.col("kind") == "open").groupBy("pos").agg(F.count(F.when(F.col("local") == "small", 1)).alias("small"), F.count(F.when(F.col("local") == "line", 1)).alias("items"))
     return found.withColumnRenamed("pos", "id")
 
@@ -295,7 +301,7 @@ def xinclude_join(spark, sf_dir):
     doc = F.concat(F.lit('<order><xi:include href="'), href, F.lit('"/></order>'))
     c = _table(spark, sf_dir, "customer")
     resources = c.select(F.concat(F.lit("http://example.org/customers/"), F.col("c_custkey").cast("string")).alias("uri"), element("customer", F.col("c_name"), segment=F.col("c_mktsegment")).alias("doc"))
-    tokens = parse(C.xinclude(to_seq(o, "o_orderkey", doc, F.lit("http://example.org/orders/1")), resources))
+    tokens = materialize(parse(C.xinclude(to_seq(o, "o_orderkey", doc, F.lit("http://example.org/orders/1")), resources), only=(*NARROW, "attrs", "value")), "included")
     return opens(tokens, "order/customer", segment="segment").join(R.text_of(tokens, M.element("customer")), ["iter", "pos", "id"]).select(F.col("pos").alias("id"), F.col("text").alias("customer"), "segment")
 
 

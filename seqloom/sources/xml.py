@@ -44,6 +44,9 @@ XML_NS = "http://www.w3.org/XML/1998/namespace"
 _ATTR_TYPE = pa.list_(pa.struct([(k, pa.string()) for k in ("ns", "prefix", "local", "value")]))
 _TYPES = {"iter": pa.int64(), "pos": pa.int64(), "base_uri": pa.string(), "ord": pa.float64(), "kind": pa.string(), "id": pa.int64(), "parent": pa.int64(), "ancestors": pa.list_(pa.int64()), "path": pa.string(), "sibling": pa.int32(), "ns": pa.string(), "prefix": pa.string(), "local": pa.string(), "value": pa.string(), "attrs": _ATTR_TYPE, "nsdecl": pa.map_(pa.string(), pa.string())}
 
+_DDL = dict(x.split(" ", 1) for x in TOKENS.replace(ATTRS, "ATTRS").replace("map<string,string>", "MAP").split(", "))
+_DDL |= {"attrs": ATTRS, "nsdecl": "map<string,string>"}
+
 
 def _name(qualified: str) -> tuple[str, str, str]:
     """expat's 'uri local prefix' as (ns, prefix, local)."""
@@ -98,14 +101,20 @@ def tokens_of(doc: str) -> list[tuple]:
     return out
 
 
-def parse(seq: DataFrame, errors: bool = False) -> DataFrame:
+def parse(seq: DataFrame, errors: bool = False, only: tuple[str, ...] | None = None) -> DataFrame:
     """The token table of a sequence. Each document is read by one task; no shuffle.
 
+    only: the columns to make, besides iter, pos and base_uri; Spark cannot see
+    into the kernel, so columns that no later step reads are left out here.
+
     A document that is not well-formed, or null, ends the job with XD0011;
     with errors, it gives one row of kind error instead, with the code in local
     and the message in value.
     """
 
+    types = dict(list(_TYPES.items())[:3]) | {k: t for k, t in _TYPES.items() if only is None or k in only}
+    schema = TOKENS if only is None else ", ".join(f"{k} {_DDL[k]}" for k in types)
+
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             heads, rows, numbers = batch.select(["iter", "pos", "base_uri"]), [], []
@@ -119,18 +128,18 @@ def parse(seq: DataFrame, errors: bool = False) -> DataFrame:
                 rows += found
                 numbers += [i] * len(found)
                 if len(rows) > 20_000:
-                    yield _columns(heads, rows, numbers)
+                    yield _columns(heads, rows, numbers, types)
                     rows, numbers = [], []
-            yield _columns(heads, rows, numbers)
+            yield _columns(heads, rows, numbers, types)
 
-    return seq.select("iter", "pos", "base_uri", "doc").mapInArrow(kernel, TOKENS)
+    return seq.select("iter", "pos", "base_uri", "doc").mapInArrow(kernel, schema)
 
 
-def _columns(heads: pa.RecordBatch, rows: list[tuple], numbers: list[int]) -> pa.RecordBatch:
+def _columns(heads: pa.RecordBatch, rows: list[tuple], numbers: list[int], types: dict[str, pa.DataType]) -> pa.RecordBatch:
     names = list(_TYPES)[3:]
-    columns = list(zip(*rows, strict=True)) or [[]] * len(names)
     own = heads.take(pa.array(numbers, pa.int64()))
-    return pa.RecordBatch.from_arrays([*own.columns, *[pa.array(c, _TYPES[k]) for k, c in zip(names, columns, strict=True)]], names=list(_TYPES))
+    made = [pa.array([r[k] for r in rows], types[n]) for k, n in enumerate(names) if n in types]
+    return pa.RecordBatch.from_arrays([*own.columns, *made], names=list(types))
 
 
 def _batch(rows: list[dict]) -> pa.RecordBatch:
