@@ -23,7 +23,7 @@ from seqloom.llm import words as W
 from seqloom.llm._spark import materialize
 
 WINDOW = 10
-#: Shingles of the benchmark that one pass over the documents looks for (32 MB on each executor). A larger benchmark is cut into blocks of items, one pass each.
+#: Shingles of the benchmark that one pass over the documents looks for (32 MB on each executor). A larger benchmark is cut into blocks of windows, one pass each.
 BLOCK = 4_000_000
 
 
@@ -85,7 +85,7 @@ def _occurrences(docs: DataFrame, wanted: dict[int, np.ndarray]) -> DataFrame:
                     runs, n_runs = W.windows(h, counts, k, short=False)
                     hit = np.zeros(0, np.int64)
                     if len(codes) and len(runs):
-                        # A table of 16 bits drops nearly all runs before the search.
+                        # A table by the first 20 bits drops nearly all runs before the search.
                         maybe = np.zeros(1 << 20, dtype=bool)
                         maybe[codes >> np.uint64(44)] = True
                         hit = np.flatnonzero(maybe[runs >> np.uint64(44)])
@@ -141,7 +141,8 @@ def contained_windows(docs: DataFrame, items: DataFrame, window: int = WINDOW) -
     blocks = max(1, -(-2 * n // BLOCK)) if n > BLOCK else 1
     base, found = None, None
     for b in range(blocks):
-        part = wins.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b)
+        # Dealt by window, so that an item of any size is spread over the blocks.
+        part = wins.filter(F.pmod(F.xxhash64("win", "n", "k"), F.lit(blocks)) == b)
         own, more = _block(docs, part, part.select("k", F.explode("shingles").alias("shingle")).distinct())
         base, found = base or own, found.unionByName(more) if found else more
     return base, found
@@ -153,7 +154,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
     n_hit: words inside any occurrence of any window. A null text has no words
     and no hits, an item with null text no windows; a null item id counts as
     the empty string; items of equal id count once; repeated rows stay; an
-    empty table of items leaves all documents clean; other columns are ignored.
+    empty table of items leaves all documents clean; texts of any length are
+    read whole, some MB at a time; other columns are ignored.
     """
     base, found = contained_windows(docs, items, window)
     spans = found.groupBy("uid", "start").agg(F.max("n").alias("n"))
