@@ -42,6 +42,32 @@ def template(text: str, values: dict[str, Column]) -> Column:
     return F.concat(*parts, F.lit(text[at:]))
 
 
+def template_document(tokens: DataFrame, values: dict[str, Column]) -> DataFrame:
+    """The template step: {name} in the texts, attributes, comments and PIs of a template document, one for each row's values.
+
+    values are columns of tokens (join them by iter and pos). In a text, a
+    value stands as text; {{ and }} are braces. XC0067: a brace without its
+    other, or an unknown name; XC0068: the same within an attribute, comment
+    or PI. Which names there are is checked when a row is computed.
+    """
+
+    def filled(text: Column, code: str) -> Column:
+        pieces = F.regexp_extract_all(text, F.lit(r"(\{\{|\}\}|\{[^{}]*\}|[^{}]+|[{}])"), F.lit(1))
+
+        def put(piece: Column) -> Column:
+            name = F.trim(F.regexp_extract(piece, r"^\{([^{}]*)\}$", 1))
+            out = F.when(piece.isin("{{", "}}"), F.substring(piece, 1, 1)).when(~piece.rlike(r"[{}]"), piece)
+            for known, value in values.items():
+                out = out.when(name == known, F.coalesce(value.cast("string"), F.lit("")))
+            return out.otherwise(fail(code, "a brace without its other, or an unknown name"))
+
+        return F.array_join(F.transform(pieces, put), "")
+
+    attrs = F.transform("attrs", lambda a: a.withField("value", filled(a["value"], "XC0068")))
+    value = F.when(F.col("kind") == "text", filled(F.col("value"), "XC0067")).when(F.col("kind").isin("comment", "pi"), filled(F.col("value"), "XC0068")).otherwise(F.col("value"))
+    return tokens.withColumns({"value": value, "attrs": attrs})
+
+
 class _Html(HTMLParser):
     """Tokens of an HTML document, with the end tags that HTML leaves out."""
 

@@ -24,7 +24,8 @@ def _per_bucket() -> WindowSpec:
 
 
 def _bucketed(seq: DataFrame) -> DataFrame:
-    return seq.withColumn("_bucket", F.floor(F.col("pos") / BUCKET))
+    # Rows without a place come first.
+    return seq.withColumn("_bucket", F.coalesce(F.floor(F.col("pos") / BUCKET), F.lit(-(1 << 62))))
 
 
 def with_position(seq: DataFrame, last: bool = False) -> DataFrame:

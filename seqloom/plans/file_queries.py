@@ -349,3 +349,13 @@ def compare_documents(spark, sf_dir):
     a = element("part", F.col("p_name"), a=F.col("p_size"), b=F.col("p_brand"))
     b = element("part", F.concat("p_name", F.when(F.col("p_size") % 2 == 0, "").otherwise("!")), b=F.col("p_brand"), a=F.col("p_size"))
     return S.compare(to_seq(t, "p_partkey", a), to_seq(t, "p_partkey", b)).select(F.col("pos").alias("id"), "equal")
+
+
+@query("""SELECT p_partkey AS id, '<p size="' || p_size || ' mm"><!-- ' || p_brand || ' --><?do ' || p_size || '?>' || p_name || ' {x}</p>' AS doc FROM part""")
+def template_document(spark, sf_dir):
+    """template: values in the attributes, comments, PIs and texts of a document."""
+    t = _table(spark, sf_dir, "part")
+    seq = to_seq(t, "p_partkey", F.lit('<p size="{s} mm"><!-- {b} --><?do {s}?>{n} {{x}}</p>'))
+    tokens = parse(seq).join(t.select(F.col("p_partkey").alias("pos"), "p_size", "p_brand", "p_name"), "pos")
+    made = C.template_document(tokens, {"s": F.col("p_size"), "b": F.col("p_brand"), "n": F.col("p_name")})
+    return serialize(made.drop("p_size", "p_brand", "p_name")).select(F.col("pos").alias("id"), "doc")

@@ -27,16 +27,20 @@ def inline(spark: SparkSession, *docs: str, base_uri: str | None = None) -> Data
 
 def load(spark: SparkSession, path: str, mask: str | None = None) -> DataFrame:
     """Documents of a file or folder, a row each, whose names match a regular expression. pos orders them by path."""
-    files = spark.read.text(path, wholetext=True).withColumn("base_uri", F.col("_metadata.file_path")).withColumn("_name", F.col("_metadata.file_name"))
-    files = files.filter(F.col("_name").rlike(f"^(?:{mask})$")) if mask else files
-    return ordered(files.select("base_uri", F.col("value").alias("doc")))
+    where = lambda rows: rows.filter(F.col("_metadata.file_name").rlike(f"^(?:{mask})$")) if mask else rows
+    files = where(spark.read.text(path, wholetext=True)).select(F.col("_metadata.file_path").alias("base_uri"), F.col("value").alias("doc"))
+    return ordered(files, where(spark.read.format("binaryFile").load(path)).select(F.col("_metadata.file_path").alias("base_uri")))
 
 
-def ordered(files: DataFrame) -> DataFrame:
-    """pos by base_uri. A listing of files, not their contents, is ordered."""
-    from pyspark.sql import Window
+def ordered(files: DataFrame, listing: DataFrame | None = None) -> DataFrame:
+    """pos by base_uri. A listing of files (by default read from files), not their contents, is sorted by ranges and numbered by buckets."""
+    from seqloom.operators.sequence import with_position
+    from seqloom.plans.scratch import materialize
 
-    places = files.select("base_uri").distinct().withColumn("pos", (F.row_number().over(Window.orderBy("base_uri")) - 1).cast("bigint"))
+    uris = (files if listing is None else listing).select("base_uri").distinct().orderBy("base_uri")
+    # The numbers rise over the sorted ranges with gaps; they are written, so that they are made once.
+    rising = materialize(uris.select(F.lit(0).cast("bigint").alias("iter"), F.monotonically_increasing_id().alias("pos"), "base_uri"), "listing")
+    places = with_position(rising).select("base_uri", (F.col("position") - 1).alias("pos"))
     return files.join(places, "base_uri").select(F.lit(0).cast("bigint").alias("iter"), "pos", "base_uri", "doc")
 
 

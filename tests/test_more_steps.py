@@ -22,6 +22,19 @@ def test_input_select(spark, monkeypatch):
     assert docs(S.input_select(seq, M.element("none"))) == []
 
 
+def test_rows_without_a_place(spark):
+    rows = spark.createDataFrame([(0, None, "n"), (0, 5, "a"), (0, 70_000, "b"), (0, -3, "c")], "iter long, pos long, k string")
+    assert {r.k: (r.position, r["last"]) for r in S.with_position(rows, last=True).collect()} == {"n": (1, 4), "c": (2, 4), "a": (3, 4), "b": (4, 4)}
+
+
+def test_load_orders_by_path(spark, tmp_path):
+    for k in range(30):
+        (tmp_path / f"f{k:02d}.xml").write_text(f"<d{k}/>")
+    (tmp_path / "other.txt").write_text("x")
+    got = files.load(spark, str(tmp_path), mask=r"f\d+\.xml").orderBy("pos").collect()
+    assert [(r.pos, r.doc) for r in got] == [(k, f"<d{k}/>") for k in range(30)]
+
+
 def test_port_cardinality(spark):
     seq = inline(spark, "<a/>", "<b/>")
     each = seq.withColumn("iter", F.col("pos"))
@@ -63,3 +76,12 @@ def test_viewports_of_several_documents(spark):
     seq = inline(spark, "<d><p>1</p><p>2</p></d>", "<d><p>3</p></d>").unionByName(inline(spark, "<d><p>4</p></d>").withColumn("iter", F.lit(1).cast("bigint")))
     out = R.viewport(parse(seq), M.element("p"), lambda t: R.rename(t, M.element("p"), "q"))
     assert docs(serialize(out)) == ["<d><q>1</q><q>2</q></d>", "<d><q>3</q></d>", "<d><q>4</q></d>"]
+
+
+def test_template_documents(spark):
+    one = lambda doc: docs(serialize(C.template_document(parse(inline(spark, doc)), {"a": F.lit("x<&"), "b": F.lit(None)})))
+    assert one('<d q="{a}{{" ><!--{ a }--><?t {b}.?>{a}}}{b}</d>') == ['<d q="x&lt;&amp;{"><!--x<&--><?t .?>x&lt;&amp;}</d>']
+    for bad, code in (("<d>{</d>", "XC0067"), ("<d>}</d>", "XC0067"), ("<d>{c}</d>", "XC0067"), ("<d q='{'/>", "XC0068"), ("<d><!--{c}--></d>", "XC0068"), ("<d><?t }?></d>", "XC0068")):
+        with pytest.raises(Exception) as x:
+            one(bad)
+        assert code_of(x.value) == code
