@@ -52,8 +52,8 @@ HEAVY = 10_000
 COPIES = 4096
 
 
-def attach(rows: DataFrame, keyed: DataFrame, key: str, total: int, n: str = "n") -> DataFrame:
-    """rows joined by key with keyed, which has one row a key and says in column n how many of the total rows have it.
+def attach(rows: DataFrame, keyed: DataFrame, key: str | list[str], total: int, n: str = "n") -> DataFrame:
+    """rows joined by key (a column or some, not null) with keyed, which has one row a key and says in column n how many of the total rows have it.
 
     Heavy keys are joined by a broadcast: there are at most HEAVY of them,
     whatever the data. So a task of the shuffled rest holds no key with more
@@ -61,7 +61,8 @@ def attach(rows: DataFrame, keyed: DataFrame, key: str, total: int, n: str = "n"
     """
     limit = max(1, total // HEAVY)
     heavy, rest = F.broadcast(keyed.filter(F.col(n) > limit)), keyed.filter(F.col(n) <= limit)
-    return rows.join(heavy, key).unionByName(rows.join(heavy.select(key), key, "left_anti").join(rest, key))
+    names = [key] if isinstance(key, str) else key
+    return rows.join(heavy, names).unionByName(rows.join(heavy.select(*names), names, "left_anti").join(rest, names))
 
 
 def copies(counted: DataFrame, n: str = "n") -> DataFrame:

@@ -22,12 +22,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqloom.llm._spark import materialize
+from seqloom.llm._spark import attach, materialize
 
 #: Headers that a 304 answer may update in a stored response.
 MERGED = ("cache-control", "content-location", "date", "etag", "expires", "vary", "age", "last-modified")
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/server-not-modified"
-#: Captures of one URL are dealt to tasks by spans of so many seconds.
+#: The seconds at which one URL was captured are dealt to tasks by spans of so many.
 SPAN = 3600
 RECORD = "record_id long, kind string, url string, ts long, headers map<string,string>, digest string, body binary"
 #: What parse_warc gives: record_key is the whole WARC-Record-ID without its brackets; record_id its number, if to_warc wrote it; flaw what is wrong with the record (null: nothing).
@@ -198,23 +198,28 @@ def resolve_revisits(records: DataFrame, span: int = SPAN) -> DataFrame:
     null time is before all others; null URLs are one URL; repeated revisits
     stay; headers of any length stay whole; other columns are ignored; an empty
     table gives no rows. Bodies are not shuffled: fetch them by response_key, or by response_id.
-    The captures of one URL are split by time, so a URL with a third of all
-    captures is spread; only one row a span is ordered by URL alone.
+    Captures of one URL and second are reduced to one row before the shuffle, so
+    a window holds at most a row for each second of a span, or a row for each
+    span of a URL. Revisits of a URL and second that has very many of them, such
+    as those without a time, get their response by a broadcast.
     """
     key = canonical_url(F.col("url"))
     record_key = F.col("record_key") if "record_key" in records.columns else F.lit(None).cast("string").alias("record_key")
     slim = records.select(key.alias("key"), F.coalesce("ts", F.lit(-(1 << 62))).alias("at"), "record_id", record_key, "kind", "url", "ts", "digest", "headers").withColumn("bucket", F.floor(F.col("at") / span))
-    # Read three times below: the records are parsed once.
+    # Read more than once below: the records are parsed once.
     slim = materialize(slim, "warc-captures")
-    answer = F.when(F.col("kind") == "response", F.struct("at", "record_id", "record_key", "digest", "headers"))
-    inside = Window.partitionBy("key", "bucket").orderBy("at", F.col("kind") == "revisit", "record_id", "record_key").rowsBetween(Window.unboundedPreceding, 0)
-    with_own = slim.withColumn("own", F.last(answer, ignorenulls=True).over(inside)).filter(F.col("kind") == "revisit")
-    # max() of a struct with a map is not defined: the last response of a bucket is found by its place.
-    lasts = slim.filter(F.col("kind") == "response").groupBy("key", "bucket").agg(F.max_by(F.struct("at", "record_id", "record_key", "digest", "headers"), F.struct("at", "record_id", "record_key")).alias("last"))
-    marks = with_own.select("key", "bucket").distinct().join(lasts, ["key", "bucket"], "full_outer")
+    # max() of a struct with a map is not defined: the last response is found by its place.
+    place = F.when(F.col("kind") == "response", F.struct("record_id", "record_key"))
+    answer = F.max_by(F.struct("record_id", "record_key", "digest", "headers"), place).alias("answer")
+    moments = materialize(slim.groupBy("key", "bucket", "at").agg(answer, F.count_if(F.col("kind") == "revisit").alias("n")), "warc-moments")
+    inside = Window.partitionBy("key", "bucket").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    within = moments.withColumn("own", F.last("answer", ignorenulls=True).over(inside)).filter("n > 0").select("key", "bucket", "at", "n", "own")
+    lasts = moments.groupBy("key", "bucket").agg(F.max_by("answer", F.when(F.col("answer").isNotNull(), F.col("at"))).alias("last"))
     before = Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    earlier = marks.withColumn("earlier", F.last("last", ignorenulls=True).over(before)).select("key", "bucket", "earlier")
-    joined = with_own.join(earlier, ["key", "bucket"], "left").withColumn("r", F.coalesce("own", "earlier"))
+    earlier = lasts.withColumn("earlier", F.last("last", ignorenulls=True).over(before)).select("key", "bucket", "earlier")
+    found = within.join(earlier, ["key", "bucket"], "left").select("key", "at", "n", F.coalesce("own", "earlier").alias("r"))
+    revisits = slim.filter(F.col("kind") == "revisit")
+    joined = attach(revisits, materialize(found, "warc-found"), ["key", "at"], revisits.count())
 
     def agree(a: Column, b: Column) -> Column:
         return a.isNull() | b.isNull() | (a == b)

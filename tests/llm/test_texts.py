@@ -7,7 +7,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from seqloom.llm import chat, html_text, pii, warc
+from seqloom.llm import _spark, chat, html_text, pii, warc
 
 SF = "/root/testdata/sf0.001"
 KEY = "test key"
@@ -98,7 +98,7 @@ def brute_revisits(records):
     return Counter(out)
 
 
-def test_revisits_against_brute_force(spark):
+def test_revisits_against_brute_force(spark, monkeypatch):
     import random
 
     rng = random.Random(5)
@@ -113,6 +113,9 @@ def test_revisits_against_brute_force(spark):
     got = Counter((r.record_id, r.response_id, r.outcome, r.digest, tuple(sorted(r.headers.items()))) for r in warc.resolve_revisits(df).collect())
     assert got == brute_revisits(rows)
     assert warc.resolve_revisits(df.limit(0)).count() == 0
+    for heavy in (20, 1):  # the moments of many revisits apart, such as those without a time; none
+        monkeypatch.setattr(_spark, "HEAVY", heavy)
+        assert Counter((r.record_id, r.response_id, r.outcome, r.digest, tuple(sorted(r.headers.items()))) for r in warc.resolve_revisits(df).collect()) == got
 
 
 VALUES = "card 4845168114407329 not 4845168114407320 mail x.34@mail7.example.com call +1 (974) 555-3436, ip 97.51.17.173 v 1.2.3 or 300.1.1.1 token = \"b44e15e09fd311c3cf3163b66d5a9875b883d8ce\" born 2020-02-29 not 2021-02-30 ssn 123-45-6789 not 000-12-3456"
