@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqloom.llm import words as W
-from seqloom.llm._spark import if_small, materialize
+from seqloom.llm._spark import attach, materialize
 
 #: Elements by their part in a page.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split())
@@ -56,8 +56,6 @@ WHITE = re.compile(r"\s+")
 TOKENS, PAGES = 8, 3
 #: Pages whose tokens are hashed at a time.
 SLICE = 256
-#: A run on more rows than this is looked up by a broadcast; so are the others where they are at most so many.
-HOT, BROADCAST_RUNS = 100_000, 1_000_000
 
 
 def _chrome(name: str, attributes: str) -> int:
@@ -279,10 +277,7 @@ def _without_repeats(pages: DataFrame) -> DataFrame:
     pairs = materialize(keyed.select("row", "page", "host", "blocks", "open").mapInArrow(_suffixes, "run long, page long, row long"), "page-runs")
     per = pairs.groupBy("run", "page").agg(F.count(F.lit(1)).alias("n"))
     counts = materialize(per.groupBy("run").agg(F.count(F.lit(1)).alias("pages"), F.sum("n").alias("n")).filter(F.col("pages") >= PAGES).select("run", "n"), "page-repeats")
-    # Runs on very many pages are few by their number; joined by a shuffle, each would be one task's.
-    hot = F.broadcast(counts.filter(F.col("n") > HOT).select("run"))
-    cold = if_small(counts.filter(F.col("n") <= HOT).select("run"), BROADCAST_RUNS)
-    found = pairs.join(hot, "run", "left_semi").unionByName(pairs.join(hot, "run", "left_anti").join(cold, "run", "left_semi"))
+    found = attach(pairs.select("run", "row"), counts, "run", pairs.count())
     gone = found.groupBy("row").agg(F.collect_list("run").alias("runs"))
     return keyed.join(gone, "row", "left").select("page_id", "url", "host", "blocks", "open", "runs").mapInArrow(_keep_unique, "page_id long, url string, text string")
 

@@ -3,7 +3,7 @@
 import random
 from collections import Counter
 
-from seqloom.llm import html_text
+from seqloom.llm import _spark, html_text
 
 
 def test_repeats_are_counted_over_the_whole_host(spark, monkeypatch):
@@ -18,9 +18,8 @@ def test_repeats_are_counted_over_the_whole_host(spark, monkeypatch):
     marks = html_text.repeated([" ".join(bs).split() for bs in own.values()])
     want = {i: [t for t, gone in zip(" ".join(bs).split(), m, strict=True) if not gone] for (i, bs), m in zip(own.items(), marks, strict=True)}
     df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
-    for hot, small in ((100_000, 1_000_000), (3, 1)):  # by broadcast, and by a shuffle with its hot runs apart
-        monkeypatch.setattr(html_text, "HOT", hot)
-        monkeypatch.setattr(html_text, "BROADCAST_RUNS", small)
+    for heavy in (10_000, 2_700, 1):  # all runs are heavy; those on 4 pages; none
+        monkeypatch.setattr(_spark, "HEAVY", heavy)
         got = {r.page_id: r.text.split() for r in html_text.main_text(df).collect()}
         assert got == want
     left = Counter(t.split("w")[0] for ts in got.values() for t in ts if t.startswith("notice"))
