@@ -13,10 +13,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqloom.llm._spark import SPACES, copies, materialize
+from seqloom.llm._spark import HEAVY, SPACES, copies, materialize
 
 #: Bits of the hash read by the histogram and its two refinements.
 LEVELS = (12, 10, 10)
+#: Sources whose plans may be broadcast; of more, only those of many rows are. A choice of plan: results are the same.
+BROADCAST_SOURCES = 1_000_000
 
 
 def n_words(text: Column) -> Column:
@@ -36,7 +38,7 @@ def mix_hash(doc_id: Column, text_md5: Column, copy: Column) -> Column:
 
 
 def targets(sources: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: float = 3.0) -> DataFrame:
-    """source, source_size, target from source, source_size.
+    """source, source_size, target (and its other columns) from source, source_size.
 
     Sources in code point order, null last, weigh as weights repeat, and share
     the total of all sizes. No target exceeds `most` times the source's size;
@@ -53,37 +55,37 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: floa
     ranked = ranked.withColumn("level", (F.sum("source_size").over(all_rows) - F.coalesce(F.sum("cap").over(by_ratio), F.lit(0.0))) / (F.sum("weight").over(all_rows) - F.coalesce(F.sum("weight").over(by_ratio), F.lit(0.0))))
     # In this order a source is capped as long as the level of those not before it exceeds its cap.
     level = F.min(F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.struct(F.col("cap") / F.col("weight"), F.col("level").alias("level")))).over(all_rows)["level"]
-    return ranked.withColumn("found", level).select("source", "source_size", F.when(F.col("found").isNull(), F.col("cap")).otherwise(F.least("cap", F.col("found") * F.col("weight"))).alias("target"))
+    return ranked.withColumn("found", level).select(*sources.columns, F.when(F.col("found").isNull(), F.col("cap")).otherwise(F.least("cap", F.col("found") * F.col("weight"))).alias("target"))
 
 
 def thresholds(slim: DataFrame, plan: DataFrame) -> DataFrame:
     """source, threshold: documents with hash < threshold are taken once more.
 
-    slim: source, size, h. plan: source, rest (words still to take). Each level
+    slim: source, size, h. plan: source, n_rows, rest (words still to take). Each level
     sums sizes by source and the next bits of the hash, only over documents in
     the bucket where the level before ended; so the first level alone reads
     all. A source has at most 2 ** 12 sums at a time. The last hash value is
     taken if that ends nearer to the budget than leaving it.
     """
-    shift, state = 32, plan.select("source", F.col("rest").cast("double").alias("rest"), F.lit(0).cast("long").alias("low"))
+    shift, state = 32, plan.select("source", "n_rows", F.col("rest").cast("double").alias("rest"), F.lit(0).cast("long").alias("low"))
     for k, bits in enumerate(LEVELS):
-        inside = slim.join(state.select(F.col("source").alias("s"), "rest", "low"), F.col("source").eqNullSafe(F.col("s")))
+        inside = with_plan(slim, state)
         inside = inside.filter((F.col("h") >= F.col("low")) & (F.col("h") < F.col("low") + F.lit(1 << shift)))
         shift -= bits
-        sums = inside.groupBy("source", "rest", "low", F.shiftright("h", shift).alias("bucket")).agg(F.sum("size").alias("size"))
+        sums = inside.groupBy("source", "n_rows", "rest", "low", F.shiftright("h", shift).alias("bucket")).agg(F.sum("size").alias("size"))
         upto = F.sum("size").over(Window.partitionBy("source").orderBy("bucket"))
         sums = sums.withColumn("upto", upto).filter(F.col("upto") > F.col("rest"))
-        edge = sums.groupBy("source").agg(F.min(F.struct("bucket", "upto", "size", "rest")).alias("x"))
+        edge = sums.groupBy("source", "n_rows").agg(F.min(F.struct("bucket", "upto", "size", "rest")).alias("x"))
         left = F.col("x.rest") - (F.col("x.upto") - F.col("x.size"))
         low = F.shiftleft(F.col("x.bucket"), shift)
         if k == len(LEVELS) - 1:
             low = F.when(F.col("x.upto") - F.col("x.rest") < left, low + 1).otherwise(low)
-        state = materialize(edge.select("source", left.alias("rest"), low.alias("low")), "mix-threshold")
+        state = materialize(edge.select("source", "n_rows", left.alias("rest"), low.alias("low")), "mix-threshold")
     return state.select("source", F.col("low").alias("threshold"))
 
 
 def mix_plan(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: float = 3.0) -> tuple[DataFrame, DataFrame]:
-    """(slim, plan): slim has doc_id, source, size, text_md5, copy, h of every row; plan has source, source_size, target, full, threshold.
+    """(slim, plan): slim has doc_id, source, size, text_md5, copy, h of every row; plan has source, n_rows, source_size, target, full, threshold.
 
     Rows of equal id, source and text are numbered as copies 0, 1, ..., each
     with a hash of its own: null and repeated ids spread like others. A document is taken full times, and once more if its hash is below the
@@ -91,7 +93,7 @@ def mix_plan(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: float
     """
     counted = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), text_key(F.col("text")).alias("text_md5")).groupBy("doc_id", "source", "size", "text_md5").agg(F.count(F.lit(1)).alias("n"))
     slim = materialize(copies(counted).withColumn("h", mix_hash(F.col("doc_id"), F.col("text_md5"), F.col("copy"))), "mix-sizes")
-    sources = slim.groupBy("source").agg(F.sum("size").alias("source_size"))
+    sources = slim.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_rows"))
     plan = targets(sources, weights, most)
     plan = plan.withColumn("full", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
     plan = materialize(plan.withColumn("rest", F.col("target") - F.col("full") * F.col("source_size")), "mix-targets")
@@ -106,8 +108,19 @@ def times(h: Column) -> Column:
 
 
 def with_plan(rows: DataFrame, plan: DataFrame) -> DataFrame:
-    """rows(source, ...) with the plan of their source. The plan is a written table, so Spark knows its size and broadcasts it only if small."""
-    return rows.join(plan.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    """rows(source, ...) with the plan(source, n_rows, ...) of their source.
+
+    A plan of at most BROADCAST_SOURCES sources is broadcast. Of a larger one,
+    those with more than one in HEAVY of the rows are (at most HEAVY of them),
+    so the shuffle of the rest has no heavy key.
+    """
+    named = plan.withColumnRenamed("source", "_source")
+    same = F.col("source").eqNullSafe(F.col("_source"))
+    if named.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
+        return rows.join(F.broadcast(named), same).drop("_source")
+    limit = max(1, named.agg(F.sum("n_rows")).first()[0] // HEAVY)
+    heavy, rest = F.broadcast(named.filter(F.col("n_rows") > limit)), named.filter(F.col("n_rows") <= limit)
+    return rows.join(heavy, same).unionByName(rows.join(heavy.select("_source"), same, "left_anti").join(rest, same)).drop("_source")
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: float = 3.0) -> DataFrame:
