@@ -11,6 +11,7 @@ places, which is exact containment of its words (up to 64-bit hashes).
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +24,7 @@ from seqloom.llm import words as W
 from seqloom.llm._spark import materialize
 
 WINDOW = 10
-#: Shingles of the benchmark that one pass over the documents looks for (32 MB on each executor). A larger benchmark is cut into blocks of windows, one pass each.
+#: Shingles of the benchmark that one pass over the documents looks for (32 MB on each executor). The windows of a larger benchmark are dealt to blocks, one pass each.
 BLOCK = 4_000_000
 
 
@@ -138,7 +139,11 @@ def contained_windows(docs: DataFrame, items: DataFrame, window: int = WINDOW) -
     """(base, found): base has doc_id, uid, n_words of every document; found has uid, item_id, start, n of every occurrence of a window."""
     wins = materialize(item_windows(items, window), "decon-windows")
     n = wins.select("k", F.explode("shingles")).distinct().count()
-    blocks = max(1, -(-2 * n // BLOCK)) if n > BLOCK else 1
+    blocks = 1
+    if n > BLOCK:
+        # Neighbouring windows share shingles but may be dealt apart, so shingles count once for each different window; a tenth is left for uneven dealing.
+        uses = wins.dropDuplicates(["win", "n", "k"]).agg(F.sum(F.size("shingles"))).first()[0]
+        blocks = math.ceil(uses / (0.9 * BLOCK))
     base, found = None, None
     for b in range(blocks):
         # Dealt by window, so that an item of any size is spread over the blocks.

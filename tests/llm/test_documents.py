@@ -149,6 +149,15 @@ def test_mixing(docs, rows, none):
     assert mixing.mix(none).count() == 0
 
 
+def test_mixing_by_either_plan(docs, monkeypatch):
+    """By a broadcast of the sources; by a shuffle, with heavy sources apart; with none heavy."""
+    want = Counter(map(tuple, mixing.mix(docs).collect()))
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
+    for heavy in (10_000, 4, 1):
+        monkeypatch.setattr(mixing, "HEAVY", heavy)
+        assert Counter(map(tuple, mixing.mix(docs).collect())) == want
+
+
 def test_mixing_rows_that_share_an_id(spark):
     """2,000 rows whose ids are null or 7, some of them repeated: the words taken come near the target all the same."""
     rows = [(None if i % 2 else 7, " ".join(f"w{i % 900}x{k}" for k in range(10)), "a") for i in range(2000)]
@@ -198,8 +207,12 @@ def test_decontamination_in_blocks(spark, docs, rows, monkeypatch):
     monkeypatch.setattr(decontaminate, "BLOCK", 400)
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     table = spark.createDataFrame(items, "item_id long, text string")
+    passes = []
+    whole = decontaminate._block
+    monkeypatch.setattr(decontaminate, "_block", lambda d, w, each: passes.append(each.count()) or whole(d, w, each))
     got = [tuple(r) for r in decontaminate.decontaminate(docs, table).collect()]
     assert Counter(got) == Counter(brute_decon(rows, items))
+    assert len(passes) > 1 and max(passes) <= decontaminate.BLOCK
 
 
 def shingles(text):
