@@ -285,8 +285,8 @@ def xinclude_nested(spark, sf_dir):
 def wrap_sequence_by_iteration(spark, sf_dir):
     """wrap-sequence without a key in a loop: a document for each iteration."""
     t = _table(spark, sf_dir, "events")
-    seq = to_seq(t, "event_id", element("e", F.col("event_type"))).join(t.select(F.col("event_id").alias("pos"), (F.col("user_id") % 10).alias("_i")), "pos")
-    wrapped = parse(S.wrap_sequence(seq.select(F.col("_i").alias("iter"), "pos", "base_uri", "doc"), "all"))
+    seq = t.select((F.col("user_id") % 10).alias("iter"), F.col("event_id").alias("pos"), F.lit(None).cast("string").alias("base_uri"), element("e", F.col("event_type")).alias("doc"))
+    wrapped = parse(S.wrap_sequence(seq, "all"), only=("ord", "kind", "id", "path", "attrs"), kinds=("open",))
     return opens(wrapped, "all/e").groupBy("iter").agg(F.count(F.lit(1)).alias("n")).withColumnRenamed("iter", "iteration")
 
 
