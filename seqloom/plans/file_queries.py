@@ -21,7 +21,7 @@ from seqloom.plans.queries import _table, events, opens, orders, parts, query
 from seqloom.plans.scratch import scratch_dir
 from seqloom.sources import files
 from seqloom.sources.bridge import around, element, to_seq
-from seqloom.sources.xml import XML_NS, output, parse, serialize
+from seqloom.sources.xml import WRITTEN, XML_NS, output, parse, serialize
 from seqloom.streaming import watch
 
 XI = ' xmlns:i="http://www.w3.org/2001/XInclude"'
@@ -356,6 +356,8 @@ def template_document(spark, sf_dir):
     """template: values in the attributes, comments, PIs and texts of a document."""
     t = _table(spark, sf_dir, "part")
     seq = to_seq(t, "p_partkey", F.lit('<p size="{s} mm"><!-- {b} --><?do {s}?>{n} {{x}}</p>'))
-    tokens = parse(seq).join(t.select(F.col("p_partkey").alias("pos"), "p_size", "p_brand", "p_name"), "pos")
+    # Spark knows the size of the keys that the documents are made of, not of their tokens, and would broadcast these.
+    values = t.select(F.col("p_partkey").alias("pos"), "p_size", "p_brand", "p_name").hint("merge")
+    tokens = parse(seq, only=WRITTEN).join(values, "pos")
     made = C.template_document(tokens, {"s": F.col("p_size"), "b": F.col("p_brand"), "n": F.col("p_name")})
     return serialize(made.drop("p_size", "p_brand", "p_name")).select(F.col("pos").alias("id"), "doc")
