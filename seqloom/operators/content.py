@@ -405,8 +405,8 @@ def assert_valid(seq: DataFrame, report: DataFrame, code: str = "XC0054") -> Dat
     return joined.withColumn("doc", F.when(F.col("_bad").isNotNull(), fail(code, "not valid")).otherwise(F.col("doc"))).drop("_bad")
 
 
-def structure_report(tokens: DataFrame, model: dict[str, set[str]], attributes: dict[str, set[str]] | None = None) -> DataFrame:
-    """Failures of a simple schema: which elements may stand in which, and which attributes they must have.
+def structure_allowed(model: dict[str, set[str]], attributes: dict[str, set[str]] | None = None) -> Column:
+    """Whether an element may stand where it does and has the attributes it must have, by a simple schema.
 
     The subset of schema validation that is a condition on tokens: parents come
     from the path. model: name -> allowed children ("" for the root's name).
@@ -418,6 +418,12 @@ def structure_report(tokens: DataFrame, model: dict[str, set[str]], attributes:
     ok = allowed
     for name, needed in (attributes or {}).items():
         ok = ok & ((F.col("local") != name) | F.lit(True if not needed else False) | (F.size(F.array_intersect(F.transform("attrs", lambda a: a["local"]), F.array(*map(F.lit, sorted(needed))))) == len(needed)))
+    return ok
+
+
+def structure_report(tokens: DataFrame, model: dict[str, set[str]], attributes: dict[str, set[str]] | None = None) -> DataFrame:
+    """Failures of a simple schema: the elements that structure_allowed does not allow."""
+    ok = structure_allowed(model, attributes)
     return tokens.filter((F.col("kind") == "open") & ~ok).select("iter", "pos", F.lit("structure").alias("rule"), "path", "ord", F.lit("not allowed here, or an attribute is missing").alias("message"))
 
 
