@@ -17,7 +17,7 @@ from seqloom.operators import match as M
 from seqloom.operators import rewrite as R
 from seqloom.operators import sequence as S
 from seqloom.plans.pipeline import Pipeline
-from seqloom.plans.queries import _table, events, opens, orders, parts, query
+from seqloom.plans.queries import NARROW, _table, events, opens, orders, parts, query
 from seqloom.plans.scratch import scratch_dir
 from seqloom.sources import files
 from seqloom.sources.bridge import around, element, to_seq
@@ -244,7 +244,7 @@ def in_scope_names(spark, sf_dir):
 @query("SELECT row_number() OVER (ORDER BY o_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) - 1 AS place, l_suppkey AS supplier FROM orders JOIN lineitem ON o_orderkey = l_orderkey")
 def input_select(spark, sf_dir):
     """A port's select: the lines of all orders as one sequence of documents."""
-    tokens = parse(S.input_select(orders(spark, sf_dir), M.element("line")))
+    tokens = parse(S.input_select(orders(spark, sf_dir), M.element("line")), only=(*NARROW, "value"), kinds=("open", "text"))
     return R.text_of(tokens, M.element("line")).select(F.col("pos").alias("place"), F.col("text").cast("bigint").alias("supplier"))
 
 
@@ -320,10 +320,10 @@ def json_nested(spark, sf_dir):
     """JSON with arrays and nesting as a document: <json><type/><list><item/><item><user/></item></list></json>."""
     t = _table(spark, sf_dir, "events")
     value = F.concat(F.lit('{"type": "'), F.col("event_type"), F.lit('", "list": [null, {"user": '), F.col("user_id").cast("string"), F.lit('}]}'))
-    tokens = parse(to_seq(t, "event_id", C.json_document(value)))
-    open_ = tokens.filter((F.col("kind") == "open") & M.element("list/item")).groupBy("pos").agg(F.count(F.lit(1)).alias("items"))
-    texts = tokens.filter("kind = 'text'").groupBy("pos").agg(F.max(F.when(F.col("path").endswith("/type"), F.col("value"))).alias("type"), F.max(F.when(F.col("path").endswith("/user"), F.col("value"))).cast("bigint").alias("inner"))
-    return open_.join(texts, "pos").select(F.col("pos").alias("id"), "type", "items", "inner")
+    tokens = parse(to_seq(t, "event_id", C.json_document(value)), only=("kind", "path", "value"), kinds=("open", "text"))
+    text = lambda name: F.max(F.when((F.col("kind") == "text") & F.col("path").endswith(name), F.col("value")))
+    items = F.count(F.when((F.col("kind") == "open") & M.element("list/item"), 1))
+    return tokens.groupBy("iter", "pos").agg(text("/type").alias("type"), items.alias("items"), text("/user").cast("bigint").alias("inner")).select(F.col("pos").alias("id"), "type", "items", "inner")
 
 
 @query("SELECT r_name AS name FROM region")

@@ -10,10 +10,10 @@ from seqloom.operators import match as M
 from seqloom.operators import rewrite as R
 from seqloom.operators import sequence as S
 from seqloom.plans.pipeline import Pipeline, call, option
-from seqloom.plans.queries import _table, events, opens, orders, parts, query
+from seqloom.plans.queries import NARROW, _table, events, opens, orders, parts, query
 from seqloom.sources import files
 from seqloom.sources.bridge import attributes_of, element, to_seq
-from seqloom.sources.xml import XML_NS, parse, serialize
+from seqloom.sources.xml import WRITTEN, XML_NS, parse, serialize
 
 
 @query("SELECT p_partkey AS id, 'http://example.org/parts/list.xml' AS base FROM part")
@@ -39,7 +39,7 @@ def namespace_delete(spark, sf_dir):
 @query("SELECT o_orderkey AS id, CASE WHEN count(l_orderkey) > 0 THEN count(l_orderkey) + 1 ELSE 0 END AS breaks FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1")
 def pretty_print(spark, sf_dir):
     """pretty-print: each line of an order, and its end, on a line of its own."""
-    seq = serialize(R.pretty_print(parse(orders(spark, sf_dir))))
+    seq = serialize(R.pretty_print(parse(orders(spark, sf_dir), only=(*WRITTEN, "parent", "ancestors"))))
     return seq.select(F.col("pos").alias("id"), (F.length("doc") - F.length(F.replace("doc", F.lit("\n"), F.lit("")))).cast("bigint").alias("breaks"))
 
 
@@ -131,7 +131,7 @@ def wrap_sequence_whole(spark, sf_dir):
 def pipeline_call(spark, sf_dir):
     """A pipeline that calls another one with an option."""
     inner = Pipeline(required=("flag",))
-    inner.step("tokens", lambda source: parse(source))
+    inner.step("tokens", lambda source: parse(source, only=(*NARROW, "attrs"), kinds=("open",)))
     inner.step("lines", lambda source, flag: R.select(source, M.element("line") & (M.attr("flag") == flag)), {"flag": option("flag")})
     outer = Pipeline()
     outer.step("lines", call(inner), {"flag": "R"})
