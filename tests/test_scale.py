@@ -39,3 +39,21 @@ def test_kinds_that_are_left_out_do_not_change_the_others(spark):
     seq = inline(spark, "<d>a<!-- c --><e x='1'>b</e></d>", "<d/>")
     rows = lambda t: sorted(map(str, t.collect()))
     assert rows(xml.parse(seq, kinds=("open", "text"))) == rows(xml.parse(seq).filter("kind in ('open', 'text')"))
+
+
+def test_queries_read_their_documents_once(spark):
+    known = __spark_entry__.queries()
+    for name in ("structure_check", "label_elements", "delete_lines", "replace_lines", "json_nested", "json_to_xml"):
+        text = plan(known[name](spark, SF))
+        # The argument of replace is one document of its own.
+        assert text.count("MapInArrow") == 1 + (name == "replace_lines"), name
+
+
+def test_windows_of_a_step_share_one_shuffle(spark):
+    from seqloom.operators import match as M
+    from seqloom.operators import rewrite as R
+    from seqloom.sources.files import inline
+
+    tokens = xml.parse(inline(spark, "<d><p/><p/></d>"))
+    for made in (R.pretty_print(tokens), R.wrap_adjacent(tokens, M.element("p"), "b", M.attr("a")), R.select(tokens, M.element("p"))):
+        assert plan(xml.serialize(made)).count("Exchange hashpartitioning") == 1
