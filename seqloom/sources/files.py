@@ -6,6 +6,8 @@ import gzip
 import io
 import zipfile
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import pandas as pd
 import pyarrow as pa
@@ -160,33 +162,65 @@ def gunzip_bytes(value: Column, method: str = "gzip") -> Column:
     return _bytes_udf("gunzip")(value)
 
 
+#: Rows and bytes of content after which a batch of archives or entries goes to Spark.
+ROWS, BYTES = 10_000, 1 << 22
+
+_ENTRY = {"path": pa.string(), "name": pa.string(), "size": pa.int64(), "content": pa.binary()}
+
+
+def _batches(rows: Iterator[tuple], *names: str) -> Iterator[pa.RecordBatch]:
+    """Rows, the content last, as batches of bounded size."""
+    held, size = [], 0
+    take = lambda: pa.RecordBatch.from_arrays([pa.array(c, _ENTRY[n]) for n, c in zip(names, zip(*held, strict=True), strict=True)], names=list(names))
+    for row in rows:
+        held.append(row)
+        size += len(row[-1])
+        if len(held) >= ROWS or size >= BYTES:
+            yield take()
+            held, size = [], 0
+    if held:
+        yield take()
+
+
 def unzip(archives: DataFrame, entry: str | None = None) -> DataFrame:
     """path, name, size, content of the entries of zip archives (path, content); one row an archive is read at a time."""
 
-    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
-            for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                if content is None:
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
+                if not content.is_valid:
                     continue
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
+                with zipfile.ZipFile(io.BytesIO(content.as_py())) as z:
                     for info in z.infolist():
                         if entry is None or info.filename == entry:
-                            yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([info.filename]), pa.array([info.file_size], pa.int64()), pa.array([z.read(info)], pa.binary())], names=["path", "name", "size", "content"])
+                            yield path, info.filename, info.file_size, z.read(info)
 
+    kernel = lambda batches: _batches(entries(batches), "path", "name", "size", "content")
     return archives.select("path", "content").mapInArrow(kernel, "path string, name string, size bigint, content binary")
 
 
 def zip_entries(entries: DataFrame) -> DataFrame:
-    """path, content: one zip archive a path, of entries (path, name, content). An archive is a row."""
+    """path, content: one zip archive a path, of entries (path, name, content). An archive is a row.
 
-    def kernel(key: tuple, table: pa.Table) -> pa.Table:
-        out = io.BytesIO()
-        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-            for name, content in sorted(zip(table.column("name").to_pylist(), table.column("content").to_pylist(), strict=True)):
-                z.writestr(zipfile.ZipInfo(name), content or b"")
-        return pa.table({"path": pa.array([key[0].as_py()]), "content": pa.array([out.getvalue()], pa.binary())})
+    The entries of a path come to a task one after the other, so it writes many
+    small archives without a call a path.
+    """
 
-    return entries.select("path", "name", "content").groupBy("path").applyInArrow(kernel, "path string, content binary")
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for batch in batches:
+            for path, name, content in zip(batch.column("path").to_pylist(), batch.column("name").to_pylist(), batch.column("content"), strict=True):
+                yield path, name, content.as_py()
+
+    def archives(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for path, own in groupby(rows(batches), itemgetter(0)):
+            out = io.BytesIO()
+            with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+                for _, name, content in own:
+                    z.writestr(zipfile.ZipInfo(name), content or b"")
+            yield path, out.getvalue()
+
+    kernel = lambda batches: _batches(archives(batches), "path", "content")
+    return entries.select("path", "name", "content").repartition("path").sortWithinPartitions("path", "name", "content").mapInArrow(kernel, "path string, content binary")
 
 
 def zip_update(old: DataFrame, new: DataFrame, command: str = "update") -> DataFrame:

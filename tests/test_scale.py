@@ -57,3 +57,35 @@ def test_windows_of_a_step_share_one_shuffle(spark):
     tokens = xml.parse(inline(spark, "<d><p/><p/></d>"))
     for made in (R.pretty_print(tokens), R.wrap_adjacent(tokens, M.element("p"), "b", M.attr("a")), R.select(tokens, M.element("p"))):
         assert plan(xml.serialize(made)).count("Exchange hashpartitioning") == 1
+
+
+def test_archives_are_written_without_a_call_a_path(spark):
+    text = plan(__spark_entry__.queries()["zip_update"](spark, SF))
+    assert text.count("MapInArrow") == 2 and "FlatMapGroups" not in text
+
+
+def test_archives_go_on_over_batches(spark):
+    from seqloom.sources import files
+
+    rows = [(p, n, c) for p in ("a", "b", None) for n in ("x", "y", "z") for c in (b"2", b"1", None)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2)
+    try:
+        archives = files.zip_entries(spark.createDataFrame(rows, "path string, name string, content binary")).collect()
+        assert sorted(str(r.path) for r in archives) == ["None", "a", "b"]
+        back = files.unzip(spark.createDataFrame(archives, "path string, content binary")).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    found = [(r.path, r.name, bytes(r.content)) for r in back]
+    assert sorted(found, key=str) == sorted([(p, n, c or b"") for p, n, c in rows], key=str)
+    assert [c for p, n, c in found if p == "a" and n == "x"] == [b"", b"1", b"2"]
+
+
+def test_batches_of_entries_are_bounded(monkeypatch):
+    from seqloom.sources import files
+
+    monkeypatch.setattr(files, "ROWS", 4)
+    monkeypatch.setattr(files, "BYTES", 10)
+    rows = [("p", b"x" * n) for n in (1, 1, 1, 1, 1, 30, 9, 0, 1)]
+    made = list(files._batches(iter(rows), "path", "content"))
+    assert [b.num_rows for b in made] == [4, 2, 3]
+    assert [tuple(r.values()) for b in made for r in b.to_pylist()] == rows
