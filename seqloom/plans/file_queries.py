@@ -295,8 +295,9 @@ def add_xml_base_nested(spark, sf_dir):
     """add-xml-base where the base changes, relative to the parent's."""
     t = _table(spark, sf_dir, "part")
     inner = F.concat(F.lit('<b xml:base="http://example.org/parts/'), F.col("p_size").cast("string"), F.lit('/x.xml"><c xml:base="y.xml"></c><d></d></b>'))
-    tokens = R.add_xml_base(parse(to_seq(t, "p_partkey", around("a", inner), F.lit("http://example.org/parts/list.xml"))))
-    back = parse(serialize(tokens)).filter(F.col("kind") == "open")
+    seq = to_seq(t, "p_partkey", around("a", inner), F.lit("http://example.org/parts/list.xml"))
+    tokens = R.add_xml_base(parse(seq, only=(*WRITTEN, "id", "ancestors")))
+    back = parse(serialize(tokens), only=("kind", "local", "attrs"), kinds=("open",))
     base = lambda n: F.max(F.when(F.col("local") == n, M.attr("base", XML_NS)))
     return back.groupBy("pos").agg(base("a").alias("outer"), base("b").alias("inner"), base("c").alias("innermost")).withColumnRenamed("pos", "id")
 

@@ -18,8 +18,8 @@ from seqloom.sources.xml import WRITTEN, XML_NS, parse, serialize
 
 @query("SELECT p_partkey AS id, 'http://example.org/parts/list.xml' AS base FROM part")
 def add_xml_base(spark, sf_dir):
-    tokens = R.add_xml_base(parse(parts(spark, sf_dir)))
-    return parse(serialize(tokens)).filter(M.element("part") & (F.col("kind") == "open")).select(F.col("pos").alias("id"), M.attr("base", XML_NS).alias("base"))
+    tokens = R.add_xml_base(parse(parts(spark, sf_dir), only=(*WRITTEN, "id", "ancestors")))
+    return parse(serialize(tokens), only=("kind", "path", "attrs"), kinds=("open",)).filter(M.element("part") & (F.col("kind") == "open")).select(F.col("pos").alias("id"), M.attr("base", XML_NS).alias("base"))
 
 
 @query("SELECT p_partkey AS id, 'http://example.org/' || p_size AS base FROM part")

@@ -3,6 +3,8 @@
 import pyarrow as pa
 import pyarrow.compute
 
+from pyspark.sql import functions as F
+
 import __spark_entry__
 from seqloom.sources import xml
 
@@ -89,3 +91,46 @@ def test_batches_of_entries_are_bounded(monkeypatch):
     made = list(files._batches(iter(rows), "path", "content"))
     assert [b.num_rows for b in made] == [4, 2, 3]
     assert [tuple(r.values()) for b in made for r in b.to_pylist()] == rows
+
+
+def test_a_change_of_base_is_resolved_once(spark, monkeypatch):
+    from seqloom.operators import rewrite as R
+    from seqloom.sources.files import inline
+
+    calls = []
+    monkeypatch.setattr(R, "resolve_uri", lambda r, b: calls.append(1) or F.concat(b, F.lit("+"), r))
+    tokens = xml.parse(inline(spark, '<a><b xml:base="1"><c xml:base="2"/>x</b><d xml:base="3"><e/></d></a>', "<a/>", base_uri="0"))
+    found = {(r.pos, r.local): (r._base, r._above) for r in R.base_uris(tokens).filter("kind = 'open'").collect()}
+    assert found == {(0, "a"): ("0", None), (0, "b"): ("0+1", "0"), (0, "c"): ("0+1+2", "0+1"), (0, "d"): ("0+3", "0"), (0, "e"): ("0+3", "0+3"), (1, "a"): ("0", None)}
+    assert len(calls) == 1
+
+
+def test_base_uris_of_many_changes(spark):
+    from urllib.parse import urljoin
+    from xml.etree import ElementTree
+
+    from seqloom.operators import rewrite as R
+    from seqloom.sources.files import inline
+
+    inner = lambda k: "".join(f'<e n="{k}.{i}" xml:base="{x}"><f n="{k}.{i}f"/></e>' for i, x in enumerate(("a/b.xml", "../c.xml", "/d/./e.xml", "//o/p", "x:y", "?q=1", "g/")))
+    doc = '<d n="r">' + "".join(f'<s n="{k}" xml:base="s{k}/t/u.xml">{inner(k)}</s>' for k in range(60)) + "</d>"
+    want = {}
+
+    def walk(e, base):
+        own = e.get(f"{{{xml.XML_NS}}}base")
+        base = base if own is None else urljoin(base, own)
+        want[e.get("n")] = base
+        for x in e:
+            walk(x, base)
+
+    walk(ElementTree.fromstring(doc), "http://h/z/y.xml")
+    made = R.base_uris(xml.parse(inline(spark, doc, base_uri="http://h/z/y.xml"))).filter("kind = 'open'").select(F.filter("attrs", lambda a: a["local"] == "n")[0]["value"].alias("n"), "_base").collect()
+    assert len(made) == len(want) and {r.n: r._base for r in made} == want
+
+
+def test_parts_of_uris_are_computed_once(spark):
+    from seqloom.functions.uris import resolve_uri
+
+    text = plan(spark.createDataFrame([("a", "b")], "r string, b string").select(resolve_uri(F.col("r"), F.col("b"))))
+    # Eight parts, each of which the plan names twice at most.
+    assert text.count("regexp_extract(") <= 16
