@@ -244,7 +244,7 @@ def in_scope_names(spark, sf_dir):
 @query("SELECT row_number() OVER (ORDER BY o_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) - 1 AS place, l_suppkey AS supplier FROM orders JOIN lineitem ON o_orderkey = l_orderkey")
 def input_select(spark, sf_dir):
     """A port's select: the lines of all orders as one sequence of documents."""
-    tokens = parse(S.input_select(orders(spark, sf_dir), M.element("line")), only=(*NARROW, "value"), kinds=("open", "text"))
+    tokens = parse(S.input_select(orders(spark, sf_dir), M.element("line"), only=("path",)), only=(*NARROW, "value"), kinds=("open", "text"))
     return R.text_of(tokens, M.element("line")).select(F.col("pos").alias("place"), F.col("text").cast("bigint").alias("supplier"))
 
 

@@ -134,3 +134,84 @@ def test_parts_of_uris_are_computed_once(spark):
     text = plan(spark.createDataFrame([("a", "b")], "r string, b string").select(resolve_uri(F.col("r"), F.col("b"))))
     # Eight parts, each of which the plan names twice at most.
     assert text.count("regexp_extract(") <= 16
+
+
+RICH = [
+    "<d><p>1</p><q/><p a='&lt;&quot;&#10;&#9;&#13;&amp;%s'>2 &lt;&gt;&amp;&#13;<![CDATA[<x>]]></p></d>",
+    "<d/>",
+    "<?pi before?><!-- b --><d><r><p>3<!-- c --><p>4<?t d?><?e?></p>x<p/></p></r>tail</d><!-- a --><?pi after?>",
+    "<p>5</p>",
+    '<d xmlns="u:1" xmlns:b="u:2%d"><b:p b:x="1" y="2" xml:lang="en">t<p xmlns="" z="&gt;"><s/>v<b:s/></p><s/></b:p><p/></d>',
+    '<b:d xmlns:b="u:1"><p><c xmlns="u:3&amp;"><p xmlns="">6<s/></p></c><s a="1"/><b:s xmlns:b="u:4" b:a="1"/></p><b:p/></b:d>',
+    '<!DOCTYPE d [<!ENTITY e "<p>in</p>"><!ATTLIST p k CDATA "0">]><d>&e;<p>7</p></d>',
+    "<d>" + "".join(f"<s n='{k}'><p>{'é€😀' * (k % 50)}</p>{'y' * (k % 700)}</s>" for k in range(3_000)) + "</d>",
+    "<p>" + "<p>" * 60 + "deep" + "</p>" * 60 + "z" * 200_000 + "</p>",
+]
+
+
+def by_windows(seq, match):
+    """iter, pos, k and doc of matched elements by the select step, which shuffles tokens."""
+    from pyspark.sql import Window
+
+    from seqloom.operators import rewrite as R
+
+    made = xml.serialize(R.select(xml.parse(seq), match), keys=("iter", "pos", "ord_in"))
+    rows = made.select("iter", "pos", (F.row_number().over(Window.partitionBy("iter", "pos").orderBy("ord_in")) - 1).alias("k"), "base_uri", "doc")
+    return sorted(tuple(r) for r in rows.collect())
+
+
+def test_a_select_of_a_port_neither_shuffles_nor_sorts_tokens(spark):
+    from seqloom.operators import match as M
+    from seqloom.sources.files import inline
+
+    text = plan(xml.cut(inline(spark, *RICH), M.element("p")))
+    assert text.count("MapInArrow") == 2 and not any(x in text for x in ("Exchange", "Sort", "Window", "Aggregate"))
+
+
+def test_cut_documents_are_those_of_select_and_serialize(spark):
+    from pyspark.sql import Window
+
+    from seqloom.operators import match as M
+    from seqloom.sources.files import inline
+
+    seq = inline(spark, *RICH, base_uri="u:b").withColumn("iter", F.col("pos") % 2)
+    second = F.row_number().over(Window.partitionBy("iter", "pos", "local", "kind").orderBy(F.desc("ord"))) == 2
+    matches = [(M.element("p"), ("path",)), (M.element("p"), None), (M.element("d//p") & M.attr("n").isNull(), ("path", "attrs")), (M.element(), ()), (F.lit(None).cast("boolean"), None), ((F.col("sibling") == 2) | (F.size("ancestors") == 3) | (F.col("ns") == "u:4"), None), (second, None)]
+    for size in (10_000, 7):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        try:
+            for match, only in matches:
+                made = xml.cut(seq, match, only)
+                rows = made.select("iter", "pos", "base_uri", "n", F.inline("found")).collect()
+                assert sorted((r.iter, r.pos, r.k, r.base_uri, r.doc) for r in rows) == by_windows(seq, match), (match, size)
+                assert made.filter(F.col("n") != F.size("found")).count() == 0
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_batches_of_cut_documents_are_bounded(monkeypatch):
+    monkeypatch.setattr(xml, "CHARS", 100)
+    types = xml._wanted(("path",)) | xml._CUT
+    heads = pa.RecordBatch.from_pydict({"iter": [0, 0], "pos": [4, 5], "base_uri": [None, None]}, schema=pa.schema([(k, xml._TYPES[k]) for k in ("iter", "pos", "base_uri")]))
+    tags = xml._Elements(types, ("open",))
+    for i, doc in enumerate(("<d>" + "<p>x</p>" * 100 + "</d>", "<p/>")):
+        assert not list(tags.read(i, doc, False))
+    rows = tags.take(heads)
+    rows = rows.append_column("_hit", pa.array([p.endswith("/p") for p in rows["path"].to_pylist()]))
+    made = list(xml._cut(iter([rows])))
+    assert [b["n"].to_pylist() for b in made] == [[13]] * 7 + [[9, 1]]
+    found = [(pos, x["k"], x["doc"]) for b in made for pos, f in zip(b["pos"].to_pylist(), b["found"].to_pylist(), strict=True) for x in f]
+    assert found == [(4, k, "<p>x</p>") for k in range(100)] + [(5, 0, "<p></p>")]
+
+
+def test_input_select_numbers_documents_of_many_matches(spark, monkeypatch):
+    from seqloom.operators import match as M
+    from seqloom.operators import sequence as S
+    from seqloom.sources.files import inline
+
+    monkeypatch.setattr(S, "BUCKET", 2)
+    docs = ["<d>" + "".join(f"<p>{i}.{k}</p>" for k in range((i * 7) % 5)) + "</d>" for i in range(20)]
+    seq = inline(spark, *docs)
+    want = [f"<p>{i}.{k}</p>" for i in range(20) for k in range((i * 7) % 5)]
+    got = S.input_select(seq, M.element("p"), only=("path",)).orderBy("pos").collect()
+    assert [(r.pos, r.doc) for r in got] == list(enumerate(want))
