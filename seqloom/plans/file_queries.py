@@ -21,7 +21,7 @@ from seqloom.plans.queries import NARROW, _table, events, opens, orders, parts,
 from seqloom.plans.scratch import scratch_dir
 from seqloom.sources import files
 from seqloom.sources.bridge import around, element, to_seq
-from seqloom.sources.xml import WRITTEN, XML_NS, output, parse, serialize
+from seqloom.sources.xml import WRITTEN, XML_NS, output, parse, serialize, texts
 from seqloom.streaming import watch
 
 XI = ' xmlns:i="http://www.w3.org/2001/XInclude"'
@@ -244,8 +244,8 @@ def in_scope_names(spark, sf_dir):
 @query("SELECT row_number() OVER (ORDER BY o_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) - 1 AS place, l_suppkey AS supplier FROM orders JOIN lineitem ON o_orderkey = l_orderkey")
 def input_select(spark, sf_dir):
     """A port's select: the lines of all orders as one sequence of documents."""
-    tokens = parse(S.input_select(orders(spark, sf_dir), M.element("line"), only=("path",)), only=(*NARROW, "value"), kinds=("open", "text"))
-    return R.text_of(tokens, M.element("line")).select(F.col("pos").alias("place"), F.col("text").cast("bigint").alias("supplier"))
+    lines = S.input_select(orders(spark, sf_dir), M.element("line"), only=("path",))
+    return texts(lines, M.element("line"), only=("path",)).select(F.col("pos").alias("place"), F.col("text").cast("bigint").alias("supplier"))
 
 
 @query("SELECT 'XD0007' AS several, count(*) AS singles FROM region")

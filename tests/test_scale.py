@@ -189,11 +189,25 @@ def test_cut_documents_are_those_of_select_and_serialize(spark):
             spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
+def test_texts_are_those_of_text_of(spark):
+    from seqloom.operators import match as M
+    from seqloom.operators import rewrite as R
+    from seqloom.sources.files import inline
+
+    seq = inline(spark, *RICH)
+    for match, only in ((M.element("p"), ("path",)), (M.element(), ()), (M.element("p") & M.has_attr("a"), ("path", "attrs"))):
+        made = xml.texts(seq, match, only)
+        assert "Exchange" not in plan(made)
+        found = sorted((r.pos, r.k, r.text) for r in made.collect())
+        ids = sorted((r.pos, r.id, r.text) for r in R.text_of(xml.parse(seq), match).collect())
+        assert len(found) == len(ids) > 0 and [(p, t) for p, _, t in found] == [(p, t) for p, _, t in ids]
+
+
 def test_batches_of_cut_documents_are_bounded(monkeypatch):
     monkeypatch.setattr(xml, "CHARS", 100)
     types = xml._wanted(("path",)) | xml._CUT
     heads = pa.RecordBatch.from_pydict({"iter": [0, 0], "pos": [4, 5], "base_uri": [None, None]}, schema=pa.schema([(k, xml._TYPES[k]) for k in ("iter", "pos", "base_uri")]))
-    tags = xml._Elements(types, ("open",))
+    tags = xml._Elements(types)
     for i, doc in enumerate(("<d>" + "<p>x</p>" * 100 + "</d>", "<p/>")):
         assert not list(tags.read(i, doc, False))
     rows = tags.take(heads)
